@@ -120,7 +120,7 @@ _IS_WORD[list(WORD_SPACE)] = False
 def _power_tables(n: int) -> list[np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         size = max(n, _PIECE * 2) + 1
-        _powers[:] = [np.cumprod(np.concatenate(([1], np.full(size - 1, b, np.uint64))).astype(np.uint64)) for b in (_BASE, _INVERSE)]
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, _INVERSE)]
     return _powers
 
 

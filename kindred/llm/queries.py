@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fixity, mixing
+from . import chat, decontaminate, fixity, jaccard, mixing, token_counts, token_store
 
 QUERIES = {
+    "op1_ngram_jaccard_join": jaccard.query,
     "op2_chat_formatting": chat.query,
+    "op3_token_counts": token_counts.query,
+    "op4_token_store": token_store.query,
     "op6_benchmark_decontamination": decontaminate.query,
     "op9_warc_merkle_fixity": fixity.query,
     "op10_source_mixing": mixing.query,
