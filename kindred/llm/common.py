@@ -57,7 +57,7 @@ def nullable_text(col: str = "text"):
 
 def word_array(col):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a column as an array; none for null or blank text."""
-    trimmed = F.regexp_replace(F.coalesce(col, F.lit("")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    trimmed = F.btrim(F.coalesce(col, F.lit("")), F.lit(WORD_SPACE.decode()))
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"{SPACE_CLASS}+"))
 
 

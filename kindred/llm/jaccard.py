@@ -30,6 +30,8 @@ from .graph import components
 
 #: Frequent shingles kept for order A, and members of one salt of a frequent token's block.
 FREQUENT, SALT_ROWS = 1 << 17, 4096
+#: Blocks up to this size are searched for partners when they are built.
+SMALL_BLOCK = 64
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -180,15 +182,25 @@ def _bucketed(batches, buckets: int):
 BLOCKS = "token long, doc long, n long, pos long, pivot long, pivot_n long, pivot_pos long"
 
 
-def _blocks(t: pa.Table) -> pa.Table:
+def _blocks(t: pa.Table, percent: int) -> pa.Table:
     """Rows of tokens that two sets share, or that are salted, each with its block's pivot."""
     token, doc, n, pos, salted = (np.concatenate(c) for c in zip(*(unpack_columns(b.as_py(), 5) for b in t.column("rows")), strict=True))
     order = np.lexsort((doc, pos, token))
     token, doc, n, pos, salted = (x[order] for x in (token, doc, n, pos, salted))
     first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
     sizes = np.diff(np.append(first, len(token)))
-    lead = np.repeat(first, sizes)
-    keep = (np.repeat(sizes, sizes) > 1) | (salted > 0)
+    lead, size = np.repeat(first, sizes), np.repeat(sizes, sizes)
+    # in small blocks only rows with a partner that passes the length and position filters can matter
+    keep = (size > SMALL_BLOCK) | (salted > 0)
+    for d in range(1, min(SMALL_BLOCK, int(sizes.max(initial=0)))):
+        a = np.flatnonzero(size[:-d] <= SMALL_BLOCK)
+        a = a[token[a] == token[a + d]]
+        if not len(a):
+            break
+        x, y = n[a].astype(np.int64), n[a + d].astype(np.int64)
+        left = np.minimum(x - pos[a].astype(np.int64), y - pos[a + d].astype(np.int64))
+        a = a[(100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (left >= overlap_needed(x, y, percent))]
+        keep[a] = keep[a + d] = True
     cols = (token, doc, n, pos, doc[lead], n[lead], pos[lead])
     return pa.table({name: pa.array(c[keep].view(np.int64)) for name, c in zip(("token", "doc", "n", "pos", "pivot", "pivot_n", "pivot_pos"), cols, strict=True)})
 
@@ -307,7 +319,7 @@ def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text
 
     buckets = 4 * shuffle_width(spark)
     packed = reps.select("rep", "n", "prefix").mapInArrow(lambda b: _bucketed(b, buckets), "bucket int, rows binary")
-    blocks = written(packed.groupBy("bucket").applyInArrow(_blocks, BLOCKS), "blocks")
+    blocks = written(packed.groupBy("bucket").applyInArrow(lambda t: _blocks(t, percent), BLOCKS), "blocks")
 
     bitmap = spark.sparkContext.broadcast(id_bitmap(blocks.select("doc").distinct()))
     # a repeated id may have several texts: the class's own is the one with its hashes; all are kept

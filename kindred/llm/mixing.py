@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,18 +48,17 @@ def source_targets(sized: DataFrame, weights=(3, 1, 2), share_percent: int = 150
     return filled.withColumn("found", level).select("source", "source_size", F.least("limit", F.coalesce(F.col("found") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``docs``.
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("hash", hash60(F.col("doc_id"))), "mix")
 
-    A source whose target is r times its size takes every document floor(r)
-    times, and once more those whose hash is below the source's threshold: the
-    largest prefix by hash that stays within the rest of the budget, or one hash
-    more where that comes nearer.  The threshold is found by nested histograms of 2**12 buckets, each
-    over the boundary bucket of the one before, so nothing is sorted and no
-    group is gathered.  Null text has size 0, null is a source of its own,
-    repeated ids share a hash and go together, an empty table gives no rows.
+
+def thresholds(rows: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int = 2) -> DataFrame:
+    """(s, source_size, target, times, below) by source: every document is taken ``times`` times and
+    once more if its hash is under ``below``.  ``rows`` has source, size, hash.
+
+    ``below`` is found by nested histograms of 2**12 buckets, each over the
+    boundary bucket of the one before, so nothing is sorted and no group is gathered.
     """
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")).withColumn("hash", hash60(F.col("doc_id"))), "mix")
     targets = source_targets(rows, weights, share_percent, cap)
     targets = targets.withColumn("times", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     state = written(targets.withColumn("room", F.col("target") - F.col("times") * F.col("source_size")).withColumn("prefix", F.lit(0).cast("long")), "mix-targets")
@@ -89,10 +88,37 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int =
             "mix-targets",
         )
     nearer = F.coalesce(F.col("next") - F.col("room") < F.col("room"), F.lit(False))
-    final = state.select(F.col("source").alias("s"), "source_size", "target", "times", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
-    out = rows.join(final, F.col("source").eqNullSafe(F.col("s")))
-    more = F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(F.col("times") + more, F.lit(cap))).alias("taken"))
+    return state.select(F.col("source").alias("s"), "source_size", "target", "times", F.when(nearer, F.col("prefix") + 1).otherwise(F.col("prefix")).alias("below"))
+
+
+def copies(hash_col: Column, cap: int = 2) -> Column:
+    """How often a document is taken, where ``thresholds`` are joined."""
+    return F.least(F.col("times") + F.when(hash_col < F.col("below"), 1).otherwise(0), F.lit(cap))
+
+
+def mix(docs: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of ``docs``.
+
+    A source whose target is r times its size takes every document floor(r)
+    times, and once more those whose hash is below the source's threshold: the
+    largest prefix by hash that stays within the rest of the budget, or one
+    hash more where that comes nearer.  Null text has size 0, null is a source
+    of its own, repeated ids share a hash and go together, an empty table gives
+    no rows, other columns are ignored.
+    """
+    rows = _sized(docs, id_col, text_col, source_col)
+    out = rows.join(thresholds(rows, weights, share_percent, cap), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies(F.col("hash"), cap)).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int = 2) -> DataFrame:
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken.
+
+    Texts are not shuffled: the thresholds, one row a source, are joined to the rows.
+    """
+    found = thresholds(_sized(docs, "doc_id", "text", "source"), weights, share_percent, cap).select(F.col("s").alias("_s"), "times", "below")
+    rows = docs.join(found, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_n", copies(hash60(F.col("doc_id")), cap))
+    return rows.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(docs.columns)
 
 
 ORACLE = r"""
