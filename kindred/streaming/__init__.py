@@ -1,0 +1,8 @@
+"""Stateless micro-batch use: the same column functions on a stream of entities."""
+
+
+def normalized_stream(stream):
+    """Adds the normalised fields and block keys to a streaming entity table."""
+    from kindred.operators.blocking import normalized
+
+    return normalized(stream)
