@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fixity, jaccard, mixing, quality, token_counts, token_store
+from . import chat, decontaminate, fixity, jaccard, licenses, mixing, quality, token_counts, token_store
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_token_store": token_store.query,
     "op5_quality_rules": quality.query,
     "op6_benchmark_decontamination": decontaminate.query,
+    "op7_license_scans": licenses.query,
     "op9_warc_merkle_fixity": fixity.query,
     "op10_source_mixing": mixing.query,
 }
