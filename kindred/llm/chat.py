@@ -34,20 +34,14 @@ class Codec:
         self.template, self.other = template, other
         marks = {m.strip() for a, b, _ in template.values() for m in (a, b)} | {other[0].partition("{}")[0], other[1].strip(), other[0].partition("{}")[2]}
         marks.discard("")
-        alternatives = "|".join(re.escape(m) for m in sorted(marks, key=lambda m: (-len(m), m)))
-        self._escape = re.compile(rf"\\|{alternatives}")
-        self.controls = re.compile(alternatives)
+        marks = sorted(marks, key=lambda m: (-len(m), m))
+        self.controls = re.compile("|".join(map(re.escape, marks)))
+        # every occurrence, overlapping ones too, is broken after its first character
+        self._escape = re.compile("|".join([r"\\", *(f"{re.escape(m[0])}(?={re.escape(m[1:])})" for m in marks)]))
         self._unescape = re.compile(r"\\\\|\\")
 
     def escape(self, text: str) -> str:
-        put = lambda m: "\\\\" if m[0] == "\\" else m[0][0] + "\\" + m[0][1:]
-        while True:  # control strings may overlap
-            done = self._escape.sub(put, text) if text is not None else ""
-            return done if not self.controls.search(done) else self._every(text)
-
-    def _every(self, text: str) -> str:
-        heads = {m[0] for m in self.controls.pattern.replace("\\", "").split("|") if m}
-        return "".join("\\\\" if c == "\\" else c + "\\" if c in heads else c for c in text)
+        return self._escape.sub(lambda m: "\\\\" if m[0] == "\\" else m[0] + "\\", text)
 
     def unescape(self, text: str) -> str:
         return self._unescape.sub(lambda m: "\\" if len(m[0]) == 2 else "", text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fixity, jaccard, licenses, mixing, quality, token_counts, token_store
+from . import chat, decontaminate, fixity, html_text, jaccard, licenses, mixing, quality, token_counts, token_store
 
 QUERIES = {
     "op1_ngram_jaccard_join": jaccard.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_benchmark_decontamination": decontaminate.query,
     "op7_license_scans": licenses.query,
+    "op8_html_extraction": html_text.query,
     "op9_warc_merkle_fixity": fixity.query,
     "op10_source_mixing": mixing.query,
 }
