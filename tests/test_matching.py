@@ -1,0 +1,94 @@
+import glob
+
+import pytest
+from pyspark.sql import functions as F
+
+from kindred.functions import text
+from kindred.operators import blocking, evaluate, scoring
+from kindred.sources import tables
+from kindred.sources.config import Settings
+
+
+def one(spark, value, fn):
+    return spark.createDataFrame([(value,)], "v string").select(fn(F.col("v"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("Oswal & Có", "oswal c"), ("डिजिटल सॉफ्टवेयर", ""), ("  A.B.C\tLtd ", "a b c ltd"), ("##11, BOMBAY", "11 bombay"), (None, "")],
+)
+def test_normalize(spark, raw, want):
+    assert one(spark, raw, text.normalize) == want
+
+
+def test_unicode_and_legal(spark):
+    assert one(spark, "Có, ﬁ!", text.normalize_unicode) == "có  fi "
+    assert one(spark, None, text.normalize_unicode) == ""
+    assert one(spark, "acme pvt ltd holdings", text.strip_legal) == "acme"
+    assert one(spark, "k p 14 173a 5th 32", text.numbers) == ["14", "32"]
+
+
+@pytest.mark.parametrize(("a", "b", "want"), [("14", "15", -1), ("14 2", "14", 1), ("", "14", 0)])
+def test_number_match(spark, a, b, want):
+    df = spark.createDataFrame([(a, b)], "a string, b string")
+    assert df.select(text.number_match(F.col("a"), F.col("b"))).first()[0] == want
+
+
+def entities(spark, rows):
+    return blocking.normalized(spark.createDataFrame(rows, "entity_id string, source int, business_name string, business_address string, country string"))
+
+
+def test_blocks_are_kept_or_suppressed_whole(spark):
+    for n, found in ((250, 250), (251, 0)):
+        rows = [("S1-1", 1, "Acme", None, "de")] + [(f"S2-{i}", 2, "acme", "", "DE") for i in range(n)]
+        assert blocking.candidates(entities(spark, rows), ("exact",)).count() == found
+
+
+def test_keys(spark):
+    norm = entities(spark, [("S2-1", 2, "ab", "12345 1234567", None)])
+    got = {(r["pass"], r["key"]) for r in blocking.keys(norm).collect()}
+    assert got == {("exact", "ab"), ("postal", "12345")}
+
+
+def test_wide_order_and_blank_row(spark):
+    norm = entities(spark, [("S1-1", 1, "a", "", ""), ("S1-2", 1, "b", "", "")])
+    pairs = spark.createDataFrame([("S1-1", c) for c in ("S3-1", "S2-9", "S2-10", "S2-9")], "s1_id string, cand_id string")
+    assert {tuple(r) for r in blocking.widen(norm, pairs).collect()} == {("S1-1", "S2-10,S2-9,S3-1"), ("S1-2", "")}
+
+
+def test_cap_three(spark):
+    rows = [("S1-1", f"S2-{i}", 0.9) for i in (4, 3, 2, 1)] + [("S1-1", "S3-1", 0.95), ("S1-1", "S9-1", 0.99)]
+    capped = scoring.top_per_source(spark.createDataFrame(rows, "s1_id string, cand_id string, prob double"), 3)
+    norm = entities(spark, [("S1-1", 1, "a", "", ""), ("S1-2", 1, "b", "", "")])
+    assert {tuple(r) for r in scoring.match_output(norm, capped).collect()} == {("S1-1", "S2-1,S2-2,S2-3,S3-1"), ("S1-2", "")}
+
+
+def test_macro(spark):
+    s1 = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "entity_id string")
+    truth = spark.createDataFrame([("S1-3", "S2-1"), ("S1-3", "S2-2")], "s1_id string, cand_id string")
+    pred = spark.createDataFrame([("S1-2", "S2-1"), ("S1-3", "S2-1")], "s1_id string, cand_id string")
+    row = evaluate.macro_f_half(s1, truth, pred).first()
+    assert row["no_match_count"] == 1
+    assert row["macro_f_half"] == pytest.approx((1 + 0 + 1.25 * 0.5 / (0.25 + 0.5)) / 3, abs=1e-8)
+
+
+def test_published_formula(spark):
+    # threshold 0.975 of a published sweep: precision, end-to-end recall, F0.5
+    got = spark.range(1).select(evaluate.f_half(F.lit(0.991965), F.lit(0.828370))).first()[0]
+    assert got == pytest.approx(0.954273, abs=2e-6)
+
+
+def test_tsv_bytes(spark, tmp_path):
+    src = tmp_path / "in.tsv"
+    src.write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"Acme ""X"" Ltd"\t\tde\n')
+    row = tables.read_entities(spark, str(src)).first()
+    assert row["business_name"] == 'Acme "X" Ltd'
+    out = str(tmp_path / "out")
+    tables.write_tsv(spark.createDataFrame([("S1-1", "")], "source1_entity_id string, matched_entity_ids string"), out, single_file=True)
+    assert open(glob.glob(out + "/part-*")[0]).read() == "source1_entity_id\tmatched_entity_ids\nS1-1\t\n"
+    wide = spark.createDataFrame([("S1-1", "a,, b")], tables.CANDIDATES)
+    assert {r[1] for r in tables.unnest(wide, "candidate_entity_ids", "c").collect()} == {"a", "b"}
+
+
+def test_settings():
+    assert Settings.from_env({"LINK_BLOCK_CAP": "5", "LINK_PASSES": "exact"}) == Settings(block_cap=5, passes=("exact",))
