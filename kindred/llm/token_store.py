@@ -19,8 +19,8 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 2
 #: A boundary follows where the rolling hash of the last WINDOW ids has its low AVERAGE_BITS bits zero.
 WINDOW, AVERAGE_BITS, LEAST, MOST = 16, 9, 96, 4096
-#: Entries of a worker's memo of encoded pre-tokens; it starts anew when full.
-MEMO = 400_000
+#: Entries of a worker's memo of encoded pre-tokens: two generations of half as many each.
+MEMO = 1_000_000
 
 
 def vocabulary_path(name: str = MODEL) -> str:
@@ -46,7 +46,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo_size, self.memo = memo, {}
+        self.memo_size, self.memo, self.old = memo, {}, {}
         self.type = np.dtype("<u2") if self.library.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
 
     def packed(self, text: str) -> bytes:
@@ -71,10 +71,17 @@ class Encoder:
         new = list({w for w in words if w not in memo})
         if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
             return False
-        if len(memo) + len(new) > self.memo_size:
-            self.memo = memo = {}
-            new = list(set(words))
-        for w, e in zip(new, self.library.encode_batch([" " + w for w in new], add_special_tokens=False), strict=True):
+        if len(memo) + len(new) > self.memo_size // 2:
+            self.old, self.memo = memo, {}
+            memo, new = self.memo, list(set(words))
+        missing = []
+        for w in new:
+            ids = self.old.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                memo[w] = ids
+        for w, e in zip(missing, self.library.encode_batch([" " + w for w in missing], add_special_tokens=False), strict=True):
             memo[w] = np.array(e.ids, self.type).tobytes()
         return True
 
