@@ -21,6 +21,8 @@ END_ID = 2
 WINDOW, AVERAGE_BITS, LEAST, MOST = 16, 9, 96, 4096
 #: Entries of a worker's memo of encoded pre-tokens: two generations of half as many each.
 MEMO = 1_000_000
+#: Signs that end a part and form a pre-token of their own after letters.
+SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = MODEL) -> str:
@@ -36,7 +38,9 @@ class Encoder:
     characters that are not white space: the space opens the next pre-token.
     So a text splits there, and each part (with its space) is encoded by the
     library once and remembered as packed ids.  Parts with other white space
-    at their ends make the whole text go to the library.
+    at their ends make the whole text go to the library.  The pre-tokeniser
+    also cuts between letters and signs, so signs that follow a part of letters
+    alone are remembered apart from it.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -46,7 +50,7 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo_size, self.memo, self.old = memo, {}, {}
+        self.memo_size, self.memo, self.old, self.signs = memo, {}, {}, {}
         self.type = np.dtype("<u2") if self.library.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
 
     def packed(self, text: str) -> bytes:
@@ -64,7 +68,11 @@ class Encoder:
         return self._encode(text)
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+        return self._encode_all([text])[0]
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.type).tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> bool:
         memo = self.memo
@@ -72,17 +80,25 @@ class Encoder:
         if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
             return False
         if len(memo) + len(new) > self.memo_size // 2:
-            self.old, self.memo = memo, {}
+            self.old, self.memo, self.signs = memo, {}, {}
             memo, new = self.memo, list(set(words))
-        missing = []
+        missing, split = {}, []
         for w in new:
             ids = self.old.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
+            if ids is not None:
                 memo[w] = ids
-        for w, e in zip(missing, self.library.encode_batch([" " + w for w in missing], add_special_tokens=False), strict=True):
-            memo[w] = np.array(e.ids, self.type).tobytes()
+                continue
+            head = w.rstrip(SIGNS)
+            if len(head) < len(w) and head.isalpha():
+                split.append((w, head, w[len(head) :]))
+                w = head
+            if w not in memo:
+                missing[w] = None
+        memo.update(zip(missing, self._encode_all([" " + w for w in missing]), strict=True))
+        tails = list({t for _, _, t in split} - self.signs.keys())
+        self.signs.update(zip(tails, self._encode_all(tails), strict=True))
+        for w, head, tail in split:
+            memo[w] = memo[head] + self.signs[tail]
         return True
 
 
