@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -44,6 +45,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, memo: int = MEMO):
+        # a task has one core; the library's thread pool spends more on small batches than it saves
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
