@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import os
 import zlib
@@ -20,10 +21,10 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 2
 #: A boundary follows where the rolling hash of the last WINDOW ids has its low AVERAGE_BITS bits zero.
 WINDOW, AVERAGE_BITS, LEAST, MOST = 16, 9, 96, 4096
+#: Characters of the texts whose new parts are learnt together (one text may be longer), and parts handed to the library as one text.
+GROUP_CHARS, TOGETHER = 2_000_000, 500
 #: Entries of a worker's memo of encoded pre-tokens: two generations of half as many each.
 MEMO = 1_000_000
-#: Signs that end a part and form a pre-token of their own after letters.
-SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def vocabulary_path(name: str = MODEL) -> str:
@@ -39,9 +40,9 @@ class Encoder:
     characters that are not white space: the space opens the next pre-token.
     So a text splits there, and each part (with its space) is encoded by the
     library once and remembered as packed ids.  Parts with other white space
-    at their ends make the whole text go to the library.  The pre-tokeniser
-    also cuts between letters and signs, so signs that follow a part of letters
-    alone are remembered apart from it.
+    at their ends make the whole text go to the library.  New parts are
+    handed to the library many at a time, as one text; an id that begins with a
+    space opens a part.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -53,22 +54,31 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
-        self.memo_size, self.memo, self.old, self.signs = memo, {}, {}, {}
+        self.memo_size, self.memo, self.old = memo, {}, {}
         self.type = np.dtype("<u2") if self.library.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        self.opens = np.zeros(self.library.get_vocab_size(True), bool)
+        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian integers of ``self.type``."""
-        if not text:
-            return b""
-        first, *words = text.split(" ")
-        if first and not first[-1].isspace():
-            memo = self.memo
-            try:
-                return self._encode(first) + b"".join([memo[w] for w in words])
-            except KeyError:
-                if self._learn(words):
-                    return self._encode(first) + b"".join([self.memo[w] for w in words])
-        return self._encode(text)
+        return self.packed_all([text])[0]
+
+    def packed_all(self, texts: list[str]) -> list[bytes]:
+        """``packed`` of each text; their new parts are learnt together."""
+        split, words = [t.split(" ") for t in texts], set()
+        for parts in split:
+            words.update(parts[1:])
+        self._learn(words)
+        memo, out = self.memo, []
+        for text, (first, *rest) in zip(texts, split, strict=True):
+            if first and not first[-1].isspace():
+                try:
+                    out.append(self._encode(first) + b"".join([memo[w] for w in rest]))
+                    continue
+                except KeyError:
+                    pass
+            out.append(self._encode(text) if text else b"")
+        return out
 
     def _encode(self, text: str) -> bytes:
         return self._encode_all([text])[0]
@@ -77,32 +87,32 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
-    def _learn(self, words: list[str]) -> bool:
-        memo = self.memo
-        new = list({w for w in words if w not in memo})
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in new):
-            return False
-        if len(memo) + len(new) > self.memo_size // 2:
-            self.old, self.memo, self.signs = memo, {}, {}
-            memo, new = self.memo, list(set(words))
-        missing, split = {}, []
-        for w in new:
-            ids = self.old.get(w)
-            if ids is not None:
-                memo[w] = ids
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts, each after a space."""
+        out, width = [], self.type.itemsize
+        for at in range(0, len(parts), TOGETHER):
+            some = parts[at : at + TOGETHER]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(some) or starts[0]:
+                out += self._encode_all([" " + w for w in some])
                 continue
-            head = w.rstrip(SIGNS)
-            if len(head) < len(w) and head.isalpha():
-                split.append((w, head, w[len(head) :]))
-                w = head
-            if w not in memo:
-                missing[w] = None
-        memo.update(zip(missing, self._encode_all([" " + w for w in missing]), strict=True))
-        tails = list({t for _, _, t in split} - self.signs.keys())
-        self.signs.update(zip(tails, self._encode_all(tails), strict=True))
-        for w, head, tail in split:
-            memo[w] = memo[head] + self.signs[tail]
-        return True
+            data, edges = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]
+            out += [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        """Remembers what can be of ``words``; the others stay unknown."""
+        new = words.difference(self.memo)
+        if len(self.memo) + len(new) > self.memo_size // 2:
+            self.old, self.memo, new = self.memo, {}, words
+        memo, old = self.memo, self.old
+        missing = new.difference(old)
+        memo.update([(w, old[w]) for w in new - missing])
+        parts = list(missing)
+        if "" in missing or len(" ".join(parts).split()) != len(parts):
+            parts = [w for w in parts if w and not w[0].isspace() and not w[-1].isspace()]
+        memo.update(zip(parts, self._encode_parts(parts), strict=True))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -114,28 +124,40 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+_BASE = 0x9E3779B97F4A7C15
+#: Ids hashed at a time, and the powers of the base and of its inverse for them.
+_BLOCK = 1 << 16
+_UP, _DOWN = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(_BLOCK - 1, b, np.uint64))), dtype=np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+_MIXED = mix(np.arange(1 << 16, dtype=np.uint64), 21)
+
+
+def marks(ids: np.ndarray) -> list[int]:
+    """Ends of the windows of an id stream whose rolling hash asks for a boundary, ascending."""
+    out = []
+    for at in range(0, len(ids) - WINDOW + 1, _BLOCK - WINDOW + 1):
+        piece = ids[at : at + _BLOCK]
+        values = _MIXED[piece] if piece.dtype.itemsize == 2 else mix(piece.astype(np.uint64), 21)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _DOWN[: len(values)], dtype=np.uint64)))
+        rolled = (sums[WINDOW:] - sums[:-WINDOW]) * _UP[WINDOW - 1 : len(values)]
+        out += (np.flatnonzero((rolled >> np.uint64(64 - AVERAGE_BITS)) == 0) + (at + WINDOW)).tolist()
+    return out
+
+
+def cuts(found: list[int], start: int, stop: int) -> list[int]:
+    """Ends of the chunks of the document at start..stop; LEAST exceeds WINDOW, so no window before it counts."""
+    out, at = [], start
+    while stop - at > LEAST:
+        i = bisect.bisect_left(found, at + LEAST)
+        at = min(found[i] if i < len(found) else stop, at + MOST, stop)
+        out.append(at)
+    if at < stop:
+        out.append(stop)
+    return out
+
+
 def boundaries(ids: np.ndarray) -> np.ndarray:
     """Ends of the chunks of an id stream, by content: the same ids give the same cuts anywhere."""
-    n = len(ids)
-    if n <= LEAST:
-        return np.array([n])
-    base = np.uint64(0x9E3779B97F4A7C15)
-    power = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(WINDOW - 1, base, np.uint64))), dtype=np.uint64)
-    values = mix(ids.astype(np.uint64), 21)
-    rolled = np.zeros(n - WINDOW + 1, np.uint64)
-    for k in range(WINDOW):
-        rolled += values[k : n - WINDOW + 1 + k] * power[WINDOW - 1 - k]
-    marks = np.flatnonzero((rolled >> np.uint64(64 - AVERAGE_BITS)) == 0) + WINDOW
-    out, at, i = [], 0, 0
-    while n - at > LEAST:
-        i = int(np.searchsorted(marks, at + LEAST))
-        end = int(marks[i]) if i < len(marks) else n
-        end = min(end, at + MOST, n)
-        out.append(end)
-        at = end
-    if at < n:
-        out.append(n)
-    return np.array(out)
+    return np.array(cuts(marks(ids), 0, len(ids)) or [0])
 
 
 # --- CRC-32 of a whole from its parts ---------------------------------------------
@@ -179,31 +201,35 @@ def _encode_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
     """Recipe rows of each document, and each chunk once per task."""
     enc, pack, sent = encoder(path), zstandard.ZstdCompressor(level=1), set()
     end = np.array([end_id], enc.type).tobytes()
+    def flush(held):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _PARTS, strict=True)], schema=_PARTS)
+
+    width = enc.type.itemsize
     for batch in batches:
-        held = []
-
-        def flush(held):
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _PARTS, strict=True)], schema=_PARTS)
-
-        size = 0
-        for row, doc, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
-            data = enc.packed(text or "") + end
-            ids, at, width = np.frombuffer(data, enc.type), 0, enc.type.itemsize
-            for seq, stop in enumerate(boundaries(ids).tolist()):
-                body = data[at * width : stop * width]
-                key = hashlib.blake2b(body, digest_size=16).digest()
-                held.append(("recipe", key, row, doc, seq, stop - at, len(ids) - stop, None))
-                if key not in sent:
-                    if len(sent) < 2_000_000:
-                        sent.add(key)
-                    held.append(("chunk", key, None, None, None, stop - at, None, blob := pack.compress(body)))
-                    size += len(blob)
-                at = stop
-            if size > 1 << 22:
-                yield flush(held)
-                held, size = [], 0
-        if held:
+        rows, docs, texts = (batch.column(i).to_pylist() for i in (0, 1, 2))
+        at = 0
+        while at < len(rows):
+            some, chars = at, 0
+            while some < len(rows) and chars < GROUP_CHARS:
+                chars += len(texts[some] or "")
+                some += 1
+            coded = [data + end for data in enc.packed_all([t or "" for t in texts[at:some]])]
+            data = b"".join(coded)
+            found, low, held = marks(np.frombuffer(data, enc.type)), 0, []
+            for row, doc, own in zip(rows[at:some], docs[at:some], coded, strict=True):
+                high, begin = low + len(own) // width, low
+                for seq, stop in enumerate(cuts(found, low, high)):
+                    body = data[begin * width : stop * width]
+                    key = hashlib.blake2b(body, digest_size=16).digest()
+                    held.append(("recipe", key, row, doc, seq, stop - begin, high - stop, None))
+                    if key not in sent:
+                        if len(sent) < 1_000_000:
+                            sent.add(key)
+                        held.append(("chunk", key, None, None, None, stop - begin, None, pack.compress(body)))
+                    begin = stop
+                low = high
             yield flush(held)
+            at = some
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
