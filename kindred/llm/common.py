@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,6 +21,7 @@ SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 
 
 _own: list[str] = []
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,14 +42,42 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kindred/{name}-{uuid.uuid4().hex}"
 
 
+#: Held while a table is written: shuffle files go when the write has ended, and Arrow batches are bounded in bytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+@contextlib.contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings for a write that runs once; the session's own come back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with writing(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back(batches: Iterator) -> Iterator:
+    """Passes batches on; at the task's end the worker's free memory goes back to the system."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        if _trim is not None:
+            _trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

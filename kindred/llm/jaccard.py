@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_words, mix, pack_columns, pack_sorted, shingle_hashes, shuffle_width, table, unpack_columns, unpack_sorted, written
+from .common import give_back, hashed_words, mix, pack_columns, pack_sorted, shingle_hashes, shuffle_width, table, unpack_columns, unpack_sorted, writing, written
 from .graph import components
 
 #: Frequent shingles kept for order A, and members of one salt of a frequent token's block.
@@ -75,7 +75,7 @@ def _runs(batches, width: int, bits: int):
                 seen.add(key)
             held.append(tokens >> np.uint64(32))
             count += len(tokens)
-            if count > 4_000_000:
+            if count > 2_000_000:
                 yield flush()
                 held, count = [], 0
     if held:
@@ -94,8 +94,9 @@ def frequent_tokens(docs: DataFrame, width: int, text_col: str = "text") -> tupl
         keep = keep[np.argsort(-counts[keep], kind="stable")[:most]]
         return pa.table({"token": pa.array(values[keep].astype(np.int64)), "df": pa.array(counts[keep].astype(np.int64))})
 
-    runs = docs.select(text_col).mapInArrow(lambda b: _runs(b, width, bits), "range int, run binary")
-    found = runs.groupBy("range").applyInArrow(merge, "token long, df long").toArrow()
+    runs = docs.select(text_col).mapInArrow(lambda b: give_back(_runs(b, width, bits)), "range int, run binary")
+    with writing(docs.sparkSession):
+        found = runs.groupBy("range").applyInArrow(merge, "token long, df long").toArrow()
     tokens = found.column("token").to_numpy().astype(np.uint64)
     order = np.argsort(tokens)
     return tokens[order], found.column("df").to_numpy()[order]
@@ -172,7 +173,7 @@ def _bucketed(batches, buckets: int):
             bucket = (mix(token * np.uint64(0x9E3779B97F4A7C15) + own, 47) % np.uint64(buckets)).astype(np.int64)
             held.append((token, np.full(size, doc, np.int64).view(np.uint64), np.full(size, n, np.uint64), np.arange(size, dtype=np.uint64), salts > 1, bucket))
             count += size
-        if count > 1_500_000:
+        if count > 750_000:
             yield flush()
             held, count = [], 0
     if held:
@@ -288,9 +289,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(x, y) of the candidate pairs that link."""
     side = lambda name, *cols: sets.select(F.col("doc").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in cols))
     near = pairs.join(side("x", "b", "c"), "x").join(side("y", "b", "c"), "y").select("x", "y", "x_b", "x_c", "y_b", "y_c")
-    near = written(near.mapInArrow(_filter_pairs, "x long, y long"), "candidates")
+    near = written(near.mapInArrow(lambda b: give_back(_filter_pairs(b)), "x long, y long"), "candidates")
     whole = near.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
-    return written(whole.mapInArrow(lambda b: _verify_pairs(b, percent), "x long, y long"), "links")
+    return written(whole.mapInArrow(lambda b: give_back(_verify_pairs(b, percent)), "x long, y long"), "links")
 
 
 def _fits(n, pos, m, other, percent: int):
@@ -314,16 +315,16 @@ def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows, width))
-    signs = written(rows.mapInArrow(lambda b: _signatures(b, width, percent, frequent), SIGNATURE), "signatures", "none")
+    signs = written(rows.mapInArrow(lambda b: give_back(_signatures(b, width, percent, frequent)), SIGNATURE), "signatures", "none")
     reps = written(signs.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes", "none")
 
     buckets = 4 * shuffle_width(spark)
-    packed = reps.select("rep", "n", "prefix").mapInArrow(lambda b: _bucketed(b, buckets), "bucket int, rows binary")
+    packed = reps.select("rep", "n", "prefix").mapInArrow(lambda b: give_back(_bucketed(b, buckets)), "bucket int, rows binary")
     blocks = written(packed.groupBy("bucket").applyInArrow(lambda t: _blocks(t, percent), BLOCKS), "blocks")
 
     bitmap = spark.sparkContext.broadcast(id_bitmap(blocks.select("doc").distinct()))
     # a repeated id may have several texts: the class's own is the one with its hashes; all are kept
-    sets = written(rows.filter("doc_id is not null").mapInArrow(lambda b: _sets(b, width, percent, bitmap), SETS), "sets", "none")
+    sets = written(rows.filter("doc_id is not null").mapInArrow(lambda b: give_back(_sets(b, width, percent, bitmap)), SETS), "sets", "none")
 
     c = F.col
     first = blocks.filter(c("doc") != c("pivot")).filter(_fits(c("n"), c("pos"), c("pivot_n"), c("pivot_pos"), percent))

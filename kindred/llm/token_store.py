@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fresh_path, mix, shuffle_width, table, written
+from .common import fresh_path, give_back, mix, shuffle_width, table, writing, written
 
 MODEL = "byte_bpe_50k.json"
 END_ID = 2
 #: A boundary follows where the rolling hash of the last WINDOW ids has its low AVERAGE_BITS bits zero.
 WINDOW, AVERAGE_BITS, LEAST, MOST = 16, 9, 96, 4096
 #: Characters of the texts whose new parts are learnt together (one text may be longer), and parts handed to the library as one text.
-GROUP_CHARS, TOGETHER = 2_000_000, 500
+GROUP_CHARS, TOGETHER = 1_000_000, 500
 #: Entries of a worker's memo of encoded pre-tokens: two generations of half as many each.
-MEMO = 1_000_000
+MEMO = 500_000
 
 
 def vocabulary_path(name: str = MODEL) -> str:
@@ -80,6 +80,9 @@ class Encoder:
             out.append(self._encode(text) if text else b"")
         return out
 
+    def forget(self) -> None:
+        self.memo, self.old = {}, {}
+
     def _encode(self, text: str) -> bytes:
         return self._encode_all([text])[0]
 
@@ -230,6 +233,7 @@ def _encode_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
                 low = high
             yield flush(held)
             at = some
+    enc.forget()  # workers are used again, by other operators too; a memo helps little beyond its task
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +257,23 @@ class Store:
     def write(self, docs: DataFrame, end_id: int = END_ID) -> None:
         vocabulary = self.vocabulary
         rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        parts = rows.mapInArrow(lambda b: _encode_parts(b, vocabulary, end_id), PARTS)
+        parts = rows.mapInArrow(lambda b: give_back(_encode_parts(b, vocabulary, end_id)), PARTS)
         n = shuffle_width(self.spark)
         # recipes and chunks are dealt by hash in one shuffle; a hot chunk is sent once per task at most,
         # recipe rows of a hot chunk are spread by row
         spread = F.when(F.col("kind") == "chunk", F.lit(0)).otherwise(F.col("row") % 1009 + 1)
         dealt = parts.repartition(n, "hash", spread).sortWithinPartitions("kind", "hash").mapInArrow(_once, PARTS)
-        dealt.write.partitionBy("kind").option("compression", "none").parquet(f"{self.path}/parts")
+        with writing(self.spark):
+            dealt.write.partitionBy("kind").option("compression", "none").parquet(f"{self.path}/parts")
         recipes = self._recipes().groupBy("row", "doc_id").agg(F.sum("n_ids").alias("n_ids"), F.sort_array(F.collect_list(F.struct("seq", "hash", "n_ids", "after"))).alias("chunks"))
         leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.array_join(F.transform("chunks", lambda c: F.lower(F.hex(c["hash"]))), ",")).cast("binary"), 256)
         ordered = recipes.withColumn("leaf", leaf).repartitionByRange(n, "doc_id", "leaf", "row").sortWithinPartitions("doc_id", "leaf", "row")
         placed = ordered.withColumn("place", F.monotonically_increasing_id())
-        placed.write.option("compression", "zstd").parquet(f"{self.path}/recipes")
-        self._manifest().write.parquet(f"{self.path}/manifest")
+        with writing(self.spark):
+            placed.write.option("compression", "zstd").parquet(f"{self.path}/recipes")
+        manifest = self._manifest()
+        with writing(self.spark):
+            manifest.write.parquet(f"{self.path}/manifest")
 
     def _recipes(self) -> DataFrame:
         return self.spark.read.schema(PARTS).parquet(f"{self.path}/parts").filter("kind = 'recipe'")
