@@ -125,7 +125,7 @@ def unpack_columns(blob: bytes, count: int) -> list[np.ndarray]:
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _powers: list[np.ndarray] = []
 
 

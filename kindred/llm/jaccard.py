@@ -75,7 +75,7 @@ def _runs(batches, width: int, bits: int):
                 seen.add(key)
             held.append(tokens >> np.uint64(32))
             count += len(tokens)
-            if count > 2_000_000:
+            if count > 1_000_000:
                 yield flush()
                 held, count = [], 0
     if held:
@@ -173,7 +173,7 @@ def _bucketed(batches, buckets: int):
             bucket = (mix(token * np.uint64(0x9E3779B97F4A7C15) + own, 47) % np.uint64(buckets)).astype(np.int64)
             held.append((token, np.full(size, doc, np.int64).view(np.uint64), np.full(size, n, np.uint64), np.arange(size, dtype=np.uint64), salts > 1, bucket))
             count += size
-        if count > 750_000:
+        if count > 400_000:
             yield flush()
             held, count = [], 0
     if held:
