@@ -12,8 +12,10 @@ tables of fixed size:
    with pivots that pass the length and position filters are candidates.
 4. Candidates must also share prefix tokens under the orders B and C; what
    passes all filters is verified on whole sets.
-5. Blocks whose members are then still in different components are joined
-   exactly, across components only.
+5. ``join`` wants components only: blocks whose members are then still in
+   different ones are joined exactly, across components only.  ``linked`` is the
+   whole join: every two members of a block are candidates, met and verified
+   tile by tile.
 """
 
 from __future__ import annotations
@@ -132,6 +134,11 @@ class Order:
 SIGNATURE = "doc_id long, n long, s1 long, s2 long, prefix binary"
 
 
+def _sums(tokens: np.ndarray) -> tuple[np.int64, np.int64]:
+    """Two hashes of a whole set; with its size they stand for it."""
+    return np.bitwise_xor.reduce(mix(tokens, 31)).view(np.int64), np.sum(mix(tokens, 37), dtype=np.uint64).view(np.int64)
+
+
 def _signatures(batches, width: int, percent: int, frequent):
     order = Order(*frequent.value)
     for batch in batches:
@@ -139,8 +146,7 @@ def _signatures(batches, width: int, percent: int, frequent):
         n, s1, s2, prefix = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), [None] * n_rows
         for i, tokens in token_sets(batch.column(1), width):
             n[i] = len(tokens)
-            s1[i] = np.bitwise_xor.reduce(mix(tokens, 31)).view(np.int64)
-            s2[i] = np.sum(mix(tokens, 37), dtype=np.uint64).view(np.int64)
+            s1[i], s2[i] = _sums(tokens)
             chosen, df = order.prefix(tokens, len(tokens) - need(len(tokens), percent) + 1)
             prefix[i] = pack_columns(chosen & LOW48, df)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix"])
@@ -234,7 +240,7 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
 
 
 def _sets(batches, width: int, percent: int, bitmap):
-    """(doc, n, b, c, tokens) of the texts whose id the bitmap has: 48-bit sets, prefixes of orders B and C."""
+    """(doc, n, s1, s2, b, c, tokens) of the texts whose id the bitmap has: 48-bit sets, prefixes of orders B and C."""
     bits = np.unpackbits(bitmap.value).view(bool)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -247,7 +253,7 @@ def _sets(batches, width: int, percent: int, bitmap):
             size = len(tokens) - need(len(tokens), percent) + 1
             b = np.partition(mix(tokens, 61), size - 1)[:size] >> np.uint64(24)
             c = np.partition(mix(tokens, 67), size - 1)[:size] >> np.uint64(24)
-            rows.append((ids[i], len(tokens), pack_sorted(np.sort(b)), pack_sorted(np.sort(c)), pack_sorted(np.unique(tokens & LOW48))))
+            rows.append((ids[i], len(tokens), *_sums(tokens), pack_sorted(np.sort(b)), pack_sorted(np.sort(c)), pack_sorted(np.unique(tokens & LOW48))))
             if len(rows) >= 500:
                 yield _set_batch(rows)
                 rows = []
@@ -255,12 +261,12 @@ def _sets(batches, width: int, percent: int, bitmap):
             yield _set_batch(rows)
 
 
-SETS = "doc long, n long, b binary, c binary, tokens binary"
+SETS = "doc long, n long, s1 long, s2 long, b binary, c binary, tokens binary"
 
 
 def _set_batch(rows):
-    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "n", "b", "c", "tokens"])
+    kinds = (*[pa.int64()] * 4, *[pa.binary()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc", "n", "s1", "s2", "b", "c", "tokens"])
 
 
 def _share(x: bytes, y: bytes) -> bool:
@@ -301,17 +307,8 @@ def _fits(n, pos, m, other, percent: int):
     return (small * 100 >= large * percent) & (F.least(n - pos, m - other) >= wanted)
 
 
-def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
-
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer
-    than ``width`` words is one shingle; one without words, or null, has none
-    and links with nothing.  Sets link when ``100 * both >= percent * either``;
-    component_id is the least id reachable, its own included.  Rows that repeat
-    an id are one node: their texts count as linked.  A null id keeps its row
-    with a null component.  Empty tables give no rows.  Shingles are compared
-    by 64-bit (in verification 48-bit) hashes.
-    """
+def _index(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signatures of rows, classes of equal sets, blocks, sets of the classes in blocks), written."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows, width))
@@ -325,7 +322,21 @@ def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text
     bitmap = spark.sparkContext.broadcast(id_bitmap(blocks.select("doc").distinct()))
     # a repeated id may have several texts: the class's own is the one with its hashes; all are kept
     sets = written(rows.filter("doc_id is not null").mapInArrow(lambda b: give_back(_sets(b, width, percent, bitmap)), SETS), "sets", "none")
+    return signs, reps, blocks, sets
+
+
+def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer
+    than ``width`` words is one shingle; one without words, or null, has none
+    and links with nothing.  Sets link when ``100 * both >= percent * either``;
+    component_id is the least id reachable, its own included.  Rows that repeat
+    an id are one node: their texts count as linked.  A null id keeps its row
+    with a null component.  Empty tables give no rows.  Shingles are compared
+    by 64-bit (in verification 48-bit) hashes.
+    """
+    signs, reps, blocks, sets = _index(docs, width, percent, id_col, text_col)
     c = F.col
     first = blocks.filter(c("doc") != c("pivot")).filter(_fits(c("n"), c("pos"), c("pivot_n"), c("pivot_pos"), percent))
     pairs = first.select(F.least("doc", "pivot").alias("x"), F.greatest("doc", "pivot").alias("y")).distinct()
@@ -341,13 +352,127 @@ def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text
     cross = left.join(right, (left["token"] == right["token"]) & (c("l_label") != c("r_label")) & (c("l_n") <= c("r_n")) & _fits(c("l_n"), c("l_pos"), c("r_n"), c("r_pos"), percent))
     more = verified(cross.select(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).distinct(), sets, percent)
 
-    every = links.union(more).select(c("x").alias("a"), c("y").alias("b"))
+    return _with_components(signs, reps, links.union(more)).select("doc_id", "n_shingles", "component_id")
+
+
+def _with_components(signs: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+    """Every row of ``signs`` with the component that ``links(x, y)`` and repeated ids give it."""
+    every = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
     classes = signs.filter("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "rep")
     repeats = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
     twins = classes.join(repeats.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
     final = components(every.union(twins))
     of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    return signs.select("doc_id", F.col("n").alias("n_shingles")).join(of_class, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = signs.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
+    return rows.join(of_class, "doc_id", "left").select("doc_id", "n_shingles", "s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: Members of a tile of a large block, and pairs of one bucket of tiles on average.
+TILE, BUCKET_PAIRS = 256, 1 << 16
+CLASS_PAIRS = "x long, y long, " + ", ".join(f"{s}_{c} long" for s in "xy" for c in ("s1", "s2", "n"))
+
+
+def _overlaps(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets x[i] and y[i]; x is ascending."""
+    out = np.zeros(len(x), np.int64)
+    if not len(x):
+        return out
+    lengths = np.array([len(s) for s in sets])
+    ends = np.cumsum(lengths)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    has = np.zeros(len(values), bool)
+    first = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+    for a, b in zip(first, np.append(first[1:], len(x)), strict=True):
+        own = flat[ends[x[a]] - lengths[x[a]] : ends[x[a]]]
+        has[own] = True
+        for at in range(a, b, TILE):
+            others = y[at : min(b, at + TILE)]
+            hits = has[np.concatenate([flat[ends[k] - lengths[k] : ends[k]] for k in others])]
+            edges = np.concatenate(([0], np.cumsum(lengths[others])[:-1]))
+            out[at : at + len(others)] = np.add.reduceat(hits, edges, dtype=np.int64)
+        has[own] = False
+    return out
+
+
+def _verify_bucket(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
+    """The linking classes of a bucket's candidate pairs; an id with several texts has several sets."""
+    classes, of_doc = {}, {}
+    for i, (doc, *key) in enumerate(zip(*(sets.column(c).to_pylist() for c in ("doc", "s1", "s2", "n")), strict=True)):
+        if (doc, *key) not in classes:
+            classes[(doc, *key)] = i
+            of_doc.setdefault(doc, []).append(i)
+    both = [(i, j) for a, b in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist(), strict=True) for i in of_doc.get(a, ()) for j in of_doc.get(b, ())]
+    x, y = (np.array([p[k] for p in both], np.int64) for k in (0, 1))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    for column in ("b", "c"):
+        held = [unpack_sorted(v) for v in sets.column(column).to_pylist()]
+        keep = _overlaps(x, y, held) > 0
+        x, y = x[keep], y[keep]
+    held = [unpack_sorted(v) for v in sets.column("tokens").to_pylist()]
+    common, lengths = _overlaps(x, y, held), np.array([len(h) for h in held], np.int64)
+    keep = 100 * common >= percent * (lengths[x] + lengths[y] - common)
+    x, y = x[keep], y[keep]
+    found = [sets.column("doc").take(pa.array(k)) for k in (x, y)] + [sets.column(c).take(pa.array(k)) for k in (x, y) for c in ("s1", "s2", "n")]
+    return pa.table(found, names=[f.split()[0] for f in CLASS_PAIRS.split(", ")])
+
+
+def _all_pairs(blocks: DataFrame, percent: int) -> DataFrame:
+    """(x, y, xt, yt, token) of every two classes of a block that pass the length and position filters,
+    once, under the least token they meet in; xt and yt are tiles of that token's block."""
+    c = F.col
+    tiles = blocks.groupBy("token").agg((F.count("*") / F.lit(TILE)).cast("int").alias("more")).filter("more > 0")
+    rows = blocks.join(tiles, "token", "left").select("token", "doc", "n", "pos", F.pmod(F.xxhash64("doc"), F.coalesce("more", F.lit(0)) + 1).cast("int").alias("tile"))
+    short = rows.filter(c("pos") <= c("n") - F.ceil((F.lit(2 * percent) * c("n")) / F.lit(100 + percent)))
+    # every row of a large block meets each of its tiles: the join's keys are (token, tile of the left, tile of the right)
+    side = lambda d, p: d.select("token", *(c(k).alias(f"{p}_{k}") for k in ("doc", "n", "pos", "tile")))
+    spread = lambda d, own, other: d.join(tiles, "token", "left").withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).drop("more")
+    left, right = spread(side(short, "l"), "l_tile", "r_tile"), spread(side(rows, "r"), "r_tile", "l_tile")
+    met = left.join(right, ["token", "l_tile", "r_tile"]).filter((c("l_doc") != c("r_doc")) & (c("l_n") <= c("r_n")) & _fits(c("l_n"), c("l_pos"), c("r_n"), c("r_pos"), percent))
+    turned = c("l_doc") > c("r_doc")
+    pairs = met.select(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y"), F.struct("token", F.when(turned, c("r_tile")).otherwise(c("l_tile")).alias("xt"), F.when(turned, c("l_tile")).otherwise(c("r_tile")).alias("yt")).alias("at"))
+    return pairs.groupBy("x", "y").agg(F.min("at").alias("at")).select("x", "y", "at.*")
+
+
+def linked(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join: rows and pairs.
+
+    rows: (doc_id, n_shingles, component_id, n_links) of every row of ``docs``,
+    as ``join`` has them.  A record is an id with a set; n_links counts the other
+    records whose set links with the row's own, exact copies included.  It is 0
+    for texts without words, and for null ids, which link with nothing.
+    pairs: (x, y, x_size, y_size, x_n, y_n), every two different sets that link,
+    once, each named by the least id that has it, with the ids that have it and
+    its shingles.
+    """
+    signs, reps, blocks, sets = _index(docs, width, percent, id_col, text_col)
+    pairs = written(_all_pairs(blocks, percent), "candidates")
+    buckets = max(4 * shuffle_width(docs.sparkSession), pairs.count() // BUCKET_PAIRS)
+    placed = pairs.select(F.pmod(F.xxhash64("token", "xt", "yt"), F.lit(buckets)).alias("bucket"), "x", "y")
+    wanted = placed.select(F.col("bucket").alias("of"), F.col("x").alias("doc")).union(placed.select("bucket", "y")).distinct()
+    dealt = wanted.join(sets, "doc").select("of", "doc", "s1", "s2", "n", "b", "c", "tokens")
+    check = lambda p, s: _verify_bucket(p, s, percent)
+    found = written(placed.groupBy("bucket").cogroup(dealt.groupBy("of")).applyInArrow(check, CLASS_PAIRS), "links")
+
+    key = ["s1", "s2", "n"]
+    sizes = signs.filter("n > 0 and doc_id is not null").select("doc_id", *key).distinct().groupBy(*key).agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"))
+    sizes = written(sizes, "sizes")
+    x, y = (F.struct(*(F.col(f"{p}_{k}").alias(k) for k in key)) for p in "xy")
+    # repeated ids may bring a pair of classes more than once, either way round
+    met = found.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).filter("x < y").distinct()
+    for p in "xy":
+        named = sizes.select(F.struct(*key).alias(p), F.col("size").alias(f"{p}_size"), F.col("rep").alias(f"{p}_rep"))
+        met = met.join(named, p)
+    links = written(met, "class-links")
+    ends = links.select(F.col("x").alias("k"), F.col("y_size").alias("size")).union(links.select("y", "x_size"))
+    others = ends.groupBy("k").agg(F.sum("size").alias("others")).select("k.*", "others")
+    counts = sizes.join(others, key, "left").select("s1", "s2", F.col("n").alias("n_shingles"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("count"))
+    rows = _with_components(signs, reps, found.select("x", "y").distinct()).join(counts, ["s1", "s2", "n_shingles"], "left")
+    rows = rows.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("count", F.lit(0))).cast("long").alias("n_links"))
+    turned = F.col("x_rep") > F.col("y_rep")
+    side = lambda one, two, n: F.when(turned, F.col(two)).otherwise(F.col(one)).alias(n)
+    pairs = links.select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y"), side("x_size", "y_size", "x_size"), side("y_size", "x_size", "y_size"), side("x.n", "y.n", "x_n"), side("y.n", "x.n", "y_n"))
+    return rows, pairs
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -358,4 +483,5 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def query(spark, sf_dir):
-    return join(table(spark, sf_dir, "documents"), 3, 90)
+    """The whole join; the query has three columns by contract, ``linked`` has n_links and the pairs."""
+    return linked(table(spark, sf_dir, "documents"), 3, 90)[0].drop("n_links")

@@ -68,6 +68,31 @@ def test_jaccard(spark, k, percent):
     assert jaccard.join(none(spark), k, percent).count() == 0
 
 
+@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 256), (5, 80, 256), (5, 80, 3)])
+def test_jaccard_links(spark, monkeypatch, k, percent, tile):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    near = []
+    for i in range(12):  # near copies that mostly link with each other, not only with one of them
+        w = BASE.split()
+        w[5 + 9 * i] = f"n{i}"
+        near.append((100 + i, " ".join(w), "en", "a", 0, 1, 2, "x"))
+    df = docs(spark).union(spark.createDataFrame([*near, (200, near[0][1], *near[0][2:])], SCHEMA))
+    rows = [(d, shingles(t, k)) for d, t in pairs(df)]
+    records = {(d, s) for d, s in rows if d is not None and s}
+    link = lambda s, t: 100 * len(s & t) >= percent * len(s | t)
+    want = Counter((d, len(s), 0 if d is None or not s else sum(link(s, t) for _, t in records) - 1) for d, s in rows)
+    got, met = jaccard.linked(df, k, percent)
+    assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got.collect()) == want
+    assert Counter(tuple(r) for r in got.drop("n_links").collect()) == Counter(tuple(r) for r in jaccard.join(df, k, percent).collect())
+    ids = {}
+    for d, s in records:
+        ids.setdefault(s, []).append(d)
+    sets = sorted(ids, key=lambda s: min(ids[s]))
+    whole = Counter((min(ids[s]), min(ids[t]), len(ids[s]), len(ids[t]), len(s), len(t)) for i, s in enumerate(sets) for t in sets[i + 1 :] if link(s, t))
+    assert Counter(tuple(r) for r in met.collect()) == whole and len(whole) > 12
+    assert [x.count() for x in jaccard.linked(none(spark), k, percent)] == [0, 0]
+
+
 def test_word_hashing_in_pieces():
     import pyarrow as pa
 
