@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -42,7 +43,8 @@ class Encoder:
     library once and remembered as packed ids.  Parts with other white space
     at their ends make the whole text go to the library.  New parts are
     handed to the library many at a time, as one text; an id that begins with a
-    space opens a part.
+    space opens a part.  A text with the string of an added token goes to the
+    library whole.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -51,9 +53,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.library.no_truncation()
         self.library.no_padding()
+        added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
+        # added tokens may be found in a normalised text, so case does not count here
+        self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
         self.memo_size, self.memo, self.old = memo, {}, {}
         self.type = np.dtype("<u2") if self.library.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
         self.opens = np.zeros(self.library.get_vocab_size(True), bool)
@@ -65,7 +69,7 @@ class Encoder:
 
     def packed_all(self, texts: list[str]) -> list[bytes]:
         """``packed`` of each text; their new parts are learnt together."""
-        split, words = [t.split(" ") for t in texts], set()
+        split, words = [[""] if self.added.search(t) else t.split(" ") for t in texts], set()
         for parts in split:
             words.update(parts[1:])
         self._learn(words)
@@ -97,7 +101,7 @@ class Encoder:
             some = parts[at : at + TOGETHER]
             ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type)
             starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some) or starts[0]:
+            if len(starts) != len(some) or starts[0] or self.added.search(" ".join(some)):
                 out += self._encode_all([" " + w for w in some])
                 continue
             data, edges = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]

@@ -157,6 +157,22 @@ def test_token_store(spark):
     assert token_store.encode_documents(none(spark)).count() == 0
 
 
+def test_token_store_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(token_store.vocabulary_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "a <|ENDOFTEXT|> b", "plain words", "<|endoftext|> <|endoftext|>\n", "a <|endof text|> b"]
+    texts += [f"w {t.content} w" for t in fresh.get_added_tokens_decoder().values()]
+    assert fresh.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start, want = 0, {}
+    for d, t in enumerate(texts):
+        ids = [*fresh.encode(t, add_special_tokens=False).ids, 2]
+        want[d] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r[0]: tuple(r)[1:] for r in token_store.encode_documents(df).collect()} == want
+
+
 def test_quality(spark):
     df = docs(spark)
     labels = spark.createDataFrame([(7, 1, 0), (9, 1, 0), (15, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
