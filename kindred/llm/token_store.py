@@ -252,8 +252,37 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
+def _body(unpack, key: bytes, n: int, blob: bytes | None, kind: np.dtype) -> bytes:
+    """The ids of a chunk, checked against its hash and length."""
+    if blob is None:
+        raise ValueError(f"chunk {key.hex()} is missing")
+    body = unpack.decompress(blob)
+    if hashlib.blake2b(body, digest_size=16).digest() != key or len(body) != n * kind.itemsize:
+        raise ValueError(f"chunk {key.hex()} does not have its hash or length")
+    return body
+
+
+def _leaf():
+    """A document's leaf: a hash over its id and the hashes of its chunks in order."""
+    return F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.array_join(F.transform("chunks", lambda c: F.lower(F.hex(c["hash"]))), ",")).cast("binary"), 256)
+
+
+def _sound():
+    """Whether a recipe row is whole: its leaf is that of its chunks, which are gapless and add up to its ids."""
+    chunks = F.col("chunks")
+    gapless = F.forall(F.transform(chunks, lambda c, i: c["seq"] == i), lambda x: x)
+    sums = F.aggregate(chunks, F.lit(0).cast("long"), lambda a, c: a + c["n_ids"])
+    # each chunk says how many ids follow it: those of the next one and what follows that
+    follow = F.forall(F.transform(chunks, lambda c, i: c["after"] == F.coalesce(F.get(chunks, i + 1)["n_ids"] + F.get(chunks, i + 1)["after"], F.lit(0))), lambda x: x)
+    return F.coalesce((F.size(chunks) > 0) & gapless & follow & (sums == F.col("n_ids")) & (F.col("leaf") == _leaf()), F.lit(False))
+
+
 class Store:
-    """A store on disk: ``chunk`` files by hash, ``recipes`` in ascending document order, ``manifest``."""
+    """A store on disk: ``chunk`` files by hash, ``recipes`` in ascending document order, ``manifest`` and ``root``.
+
+    Whatever is read is verified: leaves from the recipes' chunks, run hashes
+    and places from the leaves, the root from the runs, each chunk by its hash.
+    """
 
     def __init__(self, spark: SparkSession, path: str, vocabulary: str | None = None):
         self.spark, self.path, self.vocabulary = spark, path.rstrip("/"), vocabulary or vocabulary_path()
@@ -270,14 +299,14 @@ class Store:
         with writing(self.spark):
             dealt.write.partitionBy("kind").option("compression", "none").parquet(f"{self.path}/parts")
         recipes = self._recipes().groupBy("row", "doc_id").agg(F.sum("n_ids").alias("n_ids"), F.sort_array(F.collect_list(F.struct("seq", "hash", "n_ids", "after"))).alias("chunks"))
-        leaf = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.array_join(F.transform("chunks", lambda c: F.lower(F.hex(c["hash"]))), ",")).cast("binary"), 256)
-        ordered = recipes.withColumn("leaf", leaf).repartitionByRange(n, "doc_id", "leaf", "row").sortWithinPartitions("doc_id", "leaf", "row")
+        ordered = recipes.withColumn("leaf", _leaf()).repartitionByRange(n, "doc_id", "leaf", "row").sortWithinPartitions("doc_id", "leaf", "row")
         placed = ordered.withColumn("place", F.monotonically_increasing_id())
         with writing(self.spark):
             placed.write.option("compression", "zstd").parquet(f"{self.path}/recipes")
         manifest = self._manifest()
         with writing(self.spark):
             manifest.write.parquet(f"{self.path}/manifest")
+        self.root().write.parquet(f"{self.path}/root")
 
     def _recipes(self) -> DataFrame:
         return self.spark.read.schema(PARTS).parquet(f"{self.path}/parts").filter("kind = 'recipe'")
@@ -300,13 +329,34 @@ class Store:
         return runs.withColumn("block", part).join(blocks, "block").select("run", "n_ids", "hash", (F.col("base") + F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).alias("start"))
 
     def manifest(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/manifest")
+        return self.spark.read.schema("run long, n_ids long, hash string, start long").parquet(f"{self.path}/manifest")
 
     def root(self) -> DataFrame:
         """One row: the Merkle root over the manifest's runs, by blocks of 2**21 places of runs."""
         block = self.manifest().groupBy(F.shiftright("run", 10).alias("b")).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("run", "hash"))), lambda x: x["hash"]), ",").cast("binary"), 256).alias("hash"))
         return block.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "hash"))), lambda x: x["hash"]), ",").cast("binary"), 256).alias("root"))
 
+    def verify(self) -> None:
+        """Raises where the recipes, the manifest and the root do not agree; chunks are checked as they are read."""
+        stored = self.spark.read.schema("root string").parquet(f"{self.path}/root").collect()
+        if len(stored) != 1 or stored[0]["root"] != self.root().first()["root"]:
+            raise ValueError("the manifest does not have the stored root")
+        bad = self._ordered().filter(~_sound()).select("row").limit(5).collect()
+        if bad:
+            raise ValueError(f"recipes of rows {[r['row'] for r in bad]} do not have their leaves")
+        columns = ("n_ids", "hash", "start")
+        there = self.manifest().select("run", *(F.col(c).alias(f"m_{c}") for c in columns))
+        same = F.lit(True)
+        for c in columns:
+            same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+        bad = self._manifest().join(there, "run", "full").filter(~same).select("run").limit(5).collect()
+        if bad:
+            raise ValueError(f"runs {[r['run'] for r in bad]} of the recipes do not have their hash in the manifest")
+
+    def _placed_chunks(self) -> DataFrame:
+        """A row per chunk of the verified recipes."""
+        return self._ordered().select("row", "doc_id", F.explode("chunks").alias("c")).select("row", "doc_id", "c.*")
+
     def read_chunks(self) -> DataFrame:
         """(hash, n_ids, crc) of every stored chunk, read from its file and checked against its hash."""
         vocabulary = self.vocabulary
@@ -315,10 +365,8 @@ class Store:
             kind, unpack = encoder(vocabulary).type, zstandard.ZstdDecompressor()
             for batch in batches:
                 crcs = []
-                for key, blob in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                    body = unpack.decompress(blob)
-                    if hashlib.blake2b(body, digest_size=16).digest() != key:
-                        raise ValueError(f"chunk {key.hex()} does not have its hash")
+                for key, n, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    body = _body(unpack, key, n, blob, kind)
                     crcs.append(zlib.crc32(np.frombuffer(body, kind).astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], names=["hash", "n_ids", "crc"])
 
@@ -332,13 +380,16 @@ class Store:
                 row, crc, after = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(crc_share(crc, after * 4).astype(np.int64))], names=["row", "share"])
 
-        crcs = self.read_chunks().select("hash", "crc")
-        parts = self._recipes().select("hash", "row", "after").join(crcs, "hash").select("row", "crc", "after")
+        self.verify()
+        crcs = self.read_chunks().select("hash", F.col("n_ids").alias("found"), "crc")
+        missing = F.raise_error(F.concat(F.lit("chunk missing or of another length: "), F.hex("hash")))
+        parts = self._placed_chunks().select("hash", "row", "after", "n_ids").join(crcs, "hash", "left")
+        parts = parts.select("row", F.when(F.col("found") == F.col("n_ids"), F.col("crc")).otherwise(missing.cast("long")).alias("crc"), "after")
         whole = parts.mapInArrow(share, "row long, share long").groupBy("row").agg(F.bit_xor("share").alias("ids_crc32"))
         inner = W.partitionBy("run").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
         places = self._ordered().select("row", "doc_id", "n_ids", "place", F.shiftright("place", 12).alias("run")).withColumn("within", F.coalesce(F.sum("n_ids").over(inner), F.lit(0)))
-        placed = places.join(self.manifest().select("run", "start"), "run")
-        return placed.join(whole, "row").select("doc_id", (F.col("start") + F.col("within")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
+        placed = places.join(self.manifest().select("run", "start"), "run", "left")
+        return placed.join(whole, "row", "left").select("doc_id", (F.col("start") + F.col("within")).alias("start"), F.col("n_ids").alias("n_tokens"), "ids_crc32")
 
     def read_ids(self) -> DataFrame:
         """(doc_id, row, ids): every document's ids put together again from its recipe."""
@@ -348,11 +399,12 @@ class Store:
             kind, unpack = encoder(vocabulary).type, zstandard.ZstdDecompressor()
             for batch in batches:
                 docs, rows, lists = (batch.column(i).to_pylist() for i in (0, 1, 2))
-                ids = [np.concatenate([np.frombuffer(unpack.decompress(p["blob"]), kind) for p in parts]).astype(np.int64) for parts in lists]
+                ids = [np.concatenate([np.frombuffer(_body(unpack, p["hash"], p["n_ids"], p["blob"], kind), kind) for p in parts]).astype(np.int64) for parts in lists]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(rows, pa.int64()), pa.array(ids, pa.list_(pa.int64()))], names=["doc_id", "row", "ids"])
 
-        parts = self._recipes().select("row", "doc_id", "seq", "hash").join(self._chunks().select("hash", "blob"), "hash")
-        lists = parts.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "blob"))).alias("parts"))
+        self.verify()
+        parts = self._placed_chunks().select("row", "doc_id", "seq", "hash", "n_ids").join(self._chunks().select("hash", "blob"), "hash", "left")
+        lists = parts.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "hash", "n_ids", "blob"))).alias("parts"))
         return lists.select("doc_id", "row", "parts").mapInArrow(join, "doc_id long, row long, ids array<long>")
 
 

@@ -173,6 +173,46 @@ def test_token_store_added_tokens(spark):
     assert {r[0]: tuple(r)[1:] for r in token_store.encode_documents(df).collect()} == want
 
 
+def test_token_store_tampered(spark, tmp_path):
+    import glob
+    import os
+    import shutil
+
+    df = docs(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
+    whole = token_store.store(df, str(tmp_path / "whole"))
+    before = whole.read_documents().count()
+    assert before == df.count() == whole.read_ids().count()
+
+    def changed(name, change):
+        path = str(tmp_path / name)
+        shutil.copytree(whole.path, path)
+        change(path)
+        kept = token_store.Store(spark, path)
+        for read in (kept.read_documents, kept.read_ids):
+            with pytest.raises(Exception, match="(?i)chunk|leaves|hash|root"):  # noqa: B017, PT011
+                read().collect()
+
+    def lose(pattern):
+        return lambda path: [os.remove(f) for f in sorted(glob.glob(f"{path}/{pattern}"), key=os.path.getsize)[-1:]]
+
+    def rewrite(table, fn):
+        def change(path):
+            rows = fn(spark.read.parquet(f"{path}/{table}")).toArrow()
+            shutil.rmtree(f"{path}/{table}")
+            spark.createDataFrame(rows).write.parquet(f"{path}/{table}")
+
+        return change
+
+    changed("chunks", lose("parts/kind=chunk/*.parquet"))
+    changed("recipes", lose("recipes/*.parquet"))
+    changed("manifest", lose("manifest/*.parquet"))
+    changed("root", lose("root/*.parquet"))
+    changed("cut", rewrite("recipes", lambda d: d.withColumn("chunks", F.slice("chunks", 1, F.greatest(F.lit(1), F.size("chunks") - 1)))))
+    changed("ids", rewrite("recipes", lambda d: d.withColumn("n_ids", F.col("n_ids") + 1)))
+    changed("start", rewrite("manifest", lambda d: d.withColumn("start", F.col("start") + 1)))
+    changed("run", rewrite("manifest", lambda d: d.withColumn("hash", F.reverse("hash"))))
+
+
 def test_quality(spark):
     df = docs(spark)
     labels = spark.createDataFrame([(7, 1, 0), (9, 1, 0), (15, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
