@@ -16,12 +16,12 @@ from .common import table, word_array
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is available under the terms of the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "SPDX-License-Identifier: MIT"],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "GNU General Public License version 2 or later", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "GNU General Public License version 2 or later", "Distributed under the GNU GPL v3", "SPDX-License-Identifier: GPL-3.0-or-later"],
     "LGPL": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License", "Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-2.1-only"],
     "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Released under the BSD 3-Clause License.", "Licensed under the BSD license", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License, version 2.0.", "Released under MPL 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "CC-BY-NC": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under the CC BY-NC-SA 4.0 license"],
-    "CC-BY": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License, CC BY-SA"],
+    "CC-BY": ["Licensed under CC BY 4.0.", "This text is under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License, CC BY-SA"],
     "proprietary": ["Copyright the authors. All rights reserved.", "All rights reserved. No part of this work may be reproduced without written permission of the publisher"],
 }
 #: Sentences that share words with notices and license nothing.
@@ -31,7 +31,7 @@ OTHER = [
     "The apache helicopter flew over the creative commons of the village", "The foundation published a new version of its software terms", "She studied at MIT and released an album",
     "The restaurant lost its license under the new rules", "Copyright law is a subject of the second year", "No warranty is given for the weather", "The publisher reserved all the rooms of the hotel",
 ]
-#: A paragraph without any of these (lower case) is unknown: every template has one of them.
+#: Unknown paragraphs are listed if they have one of these (lower case); what is named is listed with or without.
 ANCHORS = r"licen[sc]e|copyright|permission is hereby|redistribut|all rights reserved|public license|creative commons"
 BITS, EPOCHS, RATE, PENALTY = 12, 300, 1.0, 1e-4
 #: A family is named from this calibrated probability on, and confirmed by this share of common word pairs.
@@ -107,25 +107,65 @@ def model() -> tuple[list[str], np.ndarray, np.ndarray, float]:
     return families, w, b, temperature
 
 
+def _pairs(text: str) -> set[str]:
+    return {g for g in grams(re.findall(_WORD, text.lower())) if " " in g}
+
+
+#: Buckets of hashed word pairs for the first look at a paragraph.
+GATE_BITS = 14
+
+
+@functools.cache
+def gate() -> tuple[list[float], int]:
+    """(weights by bucket of a hashed word pair, pairs of the longest template).
+
+    What can be confirmed shares LEAST_SHARE of the smaller side's pairs with a
+    template.  A pair weighs 1 over the least number that any template with it
+    asks for, so the weights of a paragraph of no fewer pairs than the template
+    come to 1 or more: to drop the others loses nothing.  Buckets that several
+    pairs share only let more through.
+    """
+    import xxhash
+
+    weights = [0.0] * (1 << GATE_BITS)
+    templates = [_pairs(t) for ts in TEMPLATES.values() for t in ts]
+    for t in templates:
+        for p in t:
+            k = xxhash.xxh64(p.encode(), seed=42).intdigest() % (1 << GATE_BITS)
+            weights[k] = max(weights[k], 1 / np.ceil(LEAST_SHARE * len(t)))
+    return weights, max(map(len, templates))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, paragraph, family, probability, confirmed) of each paragraph (line) with an anchor.
+    """(doc_id, paragraph, family, probability, confirmed) of each paragraph (line) that is named or has an anchor.
 
     family is the most probable one, or unknown: by the classifier, below the
     least probability, or where no template of the family has enough word pairs
-    in common (``confirmed`` tells whether one has).  Texts that are null or
-    empty have no paragraphs; repeated rows each give theirs.
+    in common (``confirmed`` tells whether one has).  Every paragraph that can
+    be confirmed is classified, whatever its words; unknown ones without an
+    anchor are not listed.  Texts that are null or empty have no paragraphs;
+    repeated rows each give theirs.
     """
     families, weights, bias, temperature = model()
     sparse = [[round(float(v), 5) for v in row] if np.abs(row).max() > 1e-4 else [] for row in weights]
     table_of = F.from_json(F.lit(json.dumps(sparse)), "array<array<double>>")
-    templates = [{"f": f, "p": sorted(set(g for g in grams(re.findall(_WORD, t.lower())) if " " in g))} for f, ts in TEMPLATES.items() for t in ts]
+    templates = [{"f": f, "p": sorted(_pairs(t))} for f, ts in TEMPLATES.items() for t in ts]
     known = F.from_json(F.lit(json.dumps(templates)), "array<struct<f:string,p:array<string>>>")
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.filter(F.transform(F.split(F.lower(F.col(text_col)), "\n"), lambda t, i: F.struct(i.alias("i"), t.alias("t"))), lambda s: s["t"].rlike(ANCHORS))).alias("_n", "s"))
-    rows = lines.select("doc_id", F.col("s")["i"].alias("paragraph"), word_array(F.regexp_replace(F.col("s")["t"], "[^a-z0-9]+", " ")).alias("words"))
+    by_bucket, longest = gate()
+    gate_of = F.from_json(F.lit(json.dumps(by_bucket)), "array<double>")
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text_col)), "\n")).alias("paragraph", "t"))
+    lines = lines.select("doc_id", "paragraph", F.col("t").rlike(ANCHORS).alias("anchor"), word_array(F.regexp_replace("t", "[^a-z0-9]+", " ")).alias("words"))
+    # a generator keeps the optimizer from evaluating the arrays again for each use
+    lines = lines.filter(F.size("words") > 0).select("doc_id", "paragraph", "anchor", F.explode(F.array("words")).alias("words"))
+    bucket = lambda w, i: F.pmod(F.xxhash64(F.concat_ws(" ", w, F.get("words", i + 1))), F.lit(1 << GATE_BITS)).cast("int")
+    lines = lines.withColumn("hits", F.explode(F.array(F.filter(F.transform("words", lambda w, i: F.get(gate_of, bucket(w, i))), lambda v: v > 0))))
+    enough = F.aggregate("hits", F.lit(0.0), lambda a, v: a + v) >= 1 - 1e-6
+    few = (F.size("hits") > 0) & ((F.size("words") <= longest + 1) | (F.size(F.array_distinct("words")) <= longest + 1))
+    rows = lines.filter(F.col("anchor") | enough | few).drop("hits")
     pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get("words", i), F.get("words", i + 1)))).otherwise(F.array().cast("array<string>"))
     # a generator keeps the optimizer from evaluating the arrays again inside the lambdas
-    rows = rows.select("doc_id", "paragraph", F.explode(F.array(F.struct(F.array_distinct("words").alias("singles"), F.array_distinct(pairs).alias("pairs")))).alias("g"))
-    rows = rows.select("doc_id", "paragraph", F.col("g.pairs").alias("pairs"), F.concat("g.singles", "g.pairs").alias("grams"))
+    rows = rows.select("doc_id", "paragraph", "anchor", F.explode(F.array(F.struct(F.array_distinct("words").alias("singles"), F.array_distinct(pairs).alias("pairs")))).alias("g"))
+    rows = rows.select("doc_id", "paragraph", "anchor", F.col("g.pairs").alias("pairs"), F.concat("g.singles", "g.pairs").alias("grams"))
     rows = rows.withColumn("rows", F.transform("grams", lambda g: F.get(table_of, F.pmod(F.xxhash64(g), F.lit(1 << BITS)).cast("int"))))
     size = F.greatest(F.lit(1.0), F.sqrt(F.size("grams")))
     logits = [(_class_sum(k) / size + float(bias[k])) / temperature for k in range(len(families))]
@@ -136,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     close = F.exists(known, lambda t: (t["f"] == F.col("guess")) & (F.size(F.array_intersect(t["p"], F.col("pairs"))) >= F.lit(LEAST_SHARE) * F.least(F.size(t["p"]), F.size("pairs"))) & (F.size("pairs") > 0))
     scored = scored.withColumn("confirmed", close)
     named = (F.col("guess") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & F.col("confirmed")
-    return scored.select("doc_id", "paragraph", F.when(named, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "confirmed")
+    return scored.filter(F.col("anchor") | named).select("doc_id", "paragraph", F.when(named, F.col("guess")).otherwise(UNKNOWN).alias("family"), "probability", "confirmed")
 
 
 def _class_sum(k: int):

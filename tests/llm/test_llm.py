@@ -289,6 +289,24 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_without_anchors(spark, monkeypatch):
+    notices = {
+        "Distributed under GNU GPL v3": "GPL", "This text is CC BY-SA 4.0": "CC-BY", "Code: BSD 3-Clause": "BSD", "Released under Apache-2.0": "Apache-2.0", "Released under MIT": "MIT",
+        "obtaining a copy of this software and associated": "MIT", "The weather of the day under the sun": None, "the general public of the city read the terms of the contract": None,
+    }
+    assert not any(re.search(licenses.ANCHORS, t.lower()) for t in notices)
+    rows = list(enumerate(notices))
+    long = " ".join(random.Random(5).choices(VOCABULARY, k=80))
+    more = [" ".join([*long.split()[:i], t, *long.split()[i:j]]) for ts in licenses.TEMPLATES.values() for t in ts for i, j in ((0, 0), (2, 4), (9, 30), (40, 80))]
+    rows += [(100, "\n".join(more)), (101, "under the " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, licenses.scan(df).collect()))
+    assert {(d, f) for d, _, f, _, _ in got if d < 100} == {(i, f) for i, f in enumerate(notices.values()) if f}
+    # the first look loses nothing that the model names
+    monkeypatch.setattr(licenses, "gate", lambda: ([1.0] * (1 << licenses.GATE_BITS), 1 << 30))
+    assert sorted(map(tuple, licenses.scan(df).collect())) == got
+
+
 def test_html():
     trees = html_text.model()
     rng = np.random.default_rng(1234)
