@@ -39,6 +39,10 @@ NEGATIVES = {
 }
 
 
+#: Most mined negatives of each kind, as the reference has them.
+LIMITS = {"name_confusion": 35_000, "prefix_confusion": 35_000, "token_confusion": 30_000, "same_addr_confusion": 25_000}
+
+
 def positives(norm: DataFrame, truth: DataFrame) -> DataFrame:
     a, b = _sides(norm)
     return truth.join(a, "s1_id").join(b, "cand_id").withColumns({"label": F.lit(1), "pair_type": F.lit("true_positive")}).select(COLUMNS)
@@ -53,10 +57,11 @@ def negatives(norm: DataFrame, truth: DataFrame, kind: str, most: int | None = N
     return hashed_limit(pairs, most, "s1_id", "cand_id") if most else pairs
 
 
-def training_set(norm: DataFrame, truth: DataFrame, most: int | None = None) -> DataFrame:
+def training_set(norm: DataFrame, truth: DataFrame, most: int | dict[str, int] | None = None) -> DataFrame:
+    """Positives and mined negatives; ``most`` bounds each kind of the latter, by one number or by kind."""
     out = positives(norm, truth)
     for kind in NEGATIVES:
-        out = out.unionByName(negatives(norm, truth, kind, most))
+        out = out.unionByName(negatives(norm, truth, kind, most[kind] if isinstance(most, dict) else most))
     return out
 
 

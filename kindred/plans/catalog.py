@@ -107,15 +107,15 @@ _add("class_weights", lambda s, d: training.balanced(training.training_set(_norm
 def _model_score(kind, **params):
     def query(s, d):
         norm = _norm(s, d)
-        rows = training.hashed_limit(training.training_set(norm, _truth(s, d), 1000).drop("pair_type"), 3000, "s1_id", "cand_id")
+        rows = training.training_set(norm, _truth(s, d), training.LIMITS).drop("pair_type")
         model = training.fit(scoring.features(rows).persist(), kind, **params)
         return training.predict(model, scoring.features(scoring.attributes(_pairs(s, d), norm))).select("s1_id", "cand_id", F.round("prob", 6).alias("prob"))
 
     return query
 
 
-_add("rf_score", _model_score("rf", numTrees=20, maxDepth=8))
-_add("gbt_score", _model_score("gbt", maxIter=8, maxDepth=4))
+_add("rf_score", _model_score("rf"))
+_add("gbt_score", _model_score("gbt"))
 
 # --- evaluation
 _add("candidate_recall", lambda s, d: evaluate.candidate_recall(_pairs(s, d), _truth(s, d)), S.feats("SELECT count(*) AS true_pairs, count(c.cand_id) AS found, round(count(c.cand_id) / CAST(count(*) AS DOUBLE), 9) AS recall FROM truth t LEFT JOIN cand c USING (s1_id, cand_id)"))

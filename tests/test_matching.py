@@ -90,5 +90,27 @@ def test_tsv_bytes(spark, tmp_path):
     assert {r[1] for r in tables.unnest(wide, "candidate_entity_ids", "c").collect()} == {"a", "b"}
 
 
+def test_scores_are_fitted_on_the_whole_set_with_the_defaults(spark, monkeypatch):
+    from kindred.operators import training
+    from kindred.plans import catalog
+
+    seen = []
+
+    def stop(rows, kind, **params):
+        seen.append((rows.count(), kind, params))
+        raise StopIteration
+
+    sf = "/root/testdata/sf0.01"
+    whole = training.training_set(catalog._norm(spark, sf), catalog._truth(spark, sf), training.LIMITS)
+    kinds = {r[0]: r[1] for r in whole.groupBy("pair_type").count().collect()}
+    monkeypatch.setattr(training, "fit", stop)
+    for kind in ("rf", "gbt"):
+        with pytest.raises(StopIteration):
+            catalog.QUERIES[f"{kind}_score"](spark, sf)
+    assert seen == [(sum(kinds.values()), kind, {}) for kind in ("rf", "gbt")]
+    some = training.training_set(catalog._norm(spark, sf), catalog._truth(spark, sf), training.LIMITS | {"name_confusion": 7})
+    assert {r[0]: r[1] for r in some.groupBy("pair_type").count().collect()} == kinds | {"name_confusion": min(7, kinds["name_confusion"])}
+
+
 def test_settings():
     assert Settings.from_env({"LINK_BLOCK_CAP": "5", "LINK_PASSES": "exact"}) == Settings(block_cap=5, passes=("exact",))
