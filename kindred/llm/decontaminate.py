@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Edits allowed per hundred characters of an item, and the least length of a piece.
-EDIT_PERCENT, MIN_PIECE = 8, 14
+#: Edits allowed per hundred characters of an item; pieces have 9 characters or more.
+EDIT_PERCENT = 8
 #: Items shorter than this are matched exactly.
 MIN_CHARS = 48
 #: Characters of items in one automaton; more items are searched in further passes.
@@ -21,7 +21,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(n: int, edit_percent: int = EDIT_PERCENT) -> int:
-    return max(0, min(n * edit_percent // 100, n // MIN_PIECE - 1)) if n >= MIN_CHARS else 0
+    return n * edit_percent // 100 if n >= MIN_CHARS else 0
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -100,7 +100,7 @@ class Matcher:
                     hit = hit and (hit[0], low + hit[1])
                 else:
                     hit = None
-                if hit and m < MIN_CHARS and (text[hit[1] - m - 1 : hit[1] - m].strip() or text[hit[1] : hit[1] + 1].strip()):
+                if hit and m < MIN_CHARS and (text[hit[1] - m - 1 : hit[1] - m].isalnum() or text[hit[1] : hit[1] + 1].isalnum()):
                     hit = None  # short items match at word boundaries only
                 if hit and (i not in best or hit < best[i]):
                     best[i] = hit

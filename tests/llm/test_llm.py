@@ -281,6 +281,20 @@ def test_decontamination(spark):
     assert decontaminate.clean(df, benchmark.limit(0)).count() == len(rows)
 
 
+def test_decontamination_of_short_items():
+    found = decontaminate.Matcher([(1, "what is the capital of france")]).matches
+    for text in ("So what is the capital of France?", "'What is the capital of France'", "(what is the capital of france)", "what is the capital of france"):
+        assert [r[:2] for r in found(text)] == [(1, 0)]
+    assert found("somewhat is the capital of france") == [] and found("what is the capital of frances") == []
+
+
+def test_decontamination_budget():
+    assert all(decontaminate.budget(n) == 8 * n // 100 for n in range(48, 400))
+    assert min(len(p) for n in range(48, 400) for _, p in decontaminate.pieces("x" * n, decontaminate.budget(n))) >= 9
+    item = "the capital of the old kingdom was moved to the river twice"  # 59 characters
+    assert decontaminate.Matcher([(1, item)]).matches(item.replace("river", "rapid"))[0][:2] == (1, 4)
+
+
 def test_licenses(spark):
     rows = [(1, "text\nReleased under the MIT License.\nmore"), (2, "This work is licensed under the GNU General Public License, version 3."), (3, None), (4, ""), (5, "The license plate of the car"), (1, "Licensed under CC BY-NC 4.0.")]
     df = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, family string")
