@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import json
 import os
 import re
 import zlib
@@ -22,10 +23,10 @@ MODEL = "byte_bpe_50k.json"
 END_ID = 2
 #: A boundary follows where the rolling hash of the last WINDOW ids has its low AVERAGE_BITS bits zero.
 WINDOW, AVERAGE_BITS, LEAST, MOST = 16, 9, 96, 4096
-#: Characters of the texts whose new parts are learnt together (one text may be longer), and parts handed to the library as one text.
-GROUP_CHARS, TOGETHER = 1_000_000, 500
-#: Entries of a worker's memo of encoded pre-tokens: two generations of half as many each.
-MEMO = 500_000
+#: Characters of the texts encoded and cut together (one text may be longer), and the length near which one of them is encoded twice.
+GROUP_CHARS, COMPARED_CHARS = 1_000_000, 2000
+# Fixed value: how byte-level vocabularies of this kind split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def vocabulary_path(name: str = MODEL) -> str:
@@ -34,20 +35,52 @@ def vocabulary_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+def second_engine(library, path: str):
+    """The same merges run by a faster library, or None where it isn't proved that the ids are equal.
+
+    Its ranks are the ids of the file's own vocabulary.  That stands for the
+    file's merges if it is plain byte-level BPE whose merges make the ids after
+    the 256 bytes in their order; then every vocabulary string is encoded by
+    both, and each task compares more of its texts (``Encoder.packed_all``).
+    """
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        kept = json.load(f)
+    model, split = kept["model"], kept.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    plain = plain and kept.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if not plain:
+        return None
+    byte_of = {c: b for b, c in enumerate(_byte_letters())}
+    vocabulary = model["vocab"]
+    merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    if any(c not in byte_of for t in vocabulary for c in t) or [vocabulary.get(t) for t in merged] != list(range(256, 256 + len(merged))) or len(vocabulary) != 256 + len(merged):
+        return None
+    ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items()}
+    engine = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    whole = [t for t in (r.decode("utf-8", "ignore") for r in ranks) if t]
+    same = [e.ids for e in library.encode_batch_fast(whole, add_special_tokens=False)] == [engine.encode_to_numpy(t, disallowed_special=()).tolist() for t in whole]
+    return engine if same else None
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level vocabularies write for each byte: itself where it shows, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
 class Encoder:
-    """The library's ids of a text, pre-token by pre-token.
-
-    The byte-level pre-tokeniser never joins across a single space between two
-    characters that are not white space: the space opens the next pre-token.
-    So a text splits there, and each part (with its space) is encoded by the
-    library once and remembered as packed ids.  Parts with other white space
-    at their ends make the whole text go to the library.  New parts are
-    handed to the library many at a time, as one text; an id that begins with a
-    space opens a part.  A text with the string of an added token goes to the
-    library whole.
+    """The library's ids of whole texts, packed.
+
+    A text with the string of an added token goes to the library itself, and so
+    does every text where ``second_engine`` is not proved equal.  The others
+    are merged by the second engine; of each group of texts the library encodes
+    one as well, and a difference is an error.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str):
         # a task has one core; the library's thread pool spends more on small batches than it saves
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -58,69 +91,34 @@ class Encoder:
         added = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values() if t.content]
         # added tokens may be found in a normalised text, so case does not count here
         self.added = re.compile("|".join(added) or "(?!)", re.IGNORECASE)
-        self.memo_size, self.memo, self.old = memo, {}, {}
         self.type = np.dtype("<u2") if self.library.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
-        self.opens = np.zeros(self.library.get_vocab_size(True), bool)
-        self.opens[[i for t, i in self.library.get_vocab().items() if t.startswith("\u0120")]] = True
+        self.engine = second_engine(self.library, path)
 
     def packed(self, text: str) -> bytes:
         """The ids of a text as little-endian integers of ``self.type``."""
         return self.packed_all([text])[0]
 
     def packed_all(self, texts: list[str]) -> list[bytes]:
-        """``packed`` of each text; their new parts are learnt together."""
-        split, words = [[""] if self.added.search(t) else t.split(" ") for t in texts], set()
-        for parts in split:
-            words.update(parts[1:])
-        self._learn(words)
-        memo, out = self.memo, []
-        for text, (first, *rest) in zip(texts, split, strict=True):
-            if first and not first[-1].isspace():
-                try:
-                    out.append(self._encode(first) + b"".join([memo[w] for w in rest]))
-                    continue
-                except KeyError:
-                    pass
-            out.append(self._encode(text) if text else b"")
+        """``packed`` of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if t and (self.engine is None or self.added.search(t))]
+        if self.engine is not None:
+            sent = set(whole)
+            rest = [i for i, t in enumerate(texts) if t and i not in sent]
+            for i in rest:
+                out[i] = self.engine.encode_to_numpy(texts[i], disallowed_special=()).astype(self.type).tobytes()
+            if rest:
+                one = min(rest, key=lambda i: abs(len(texts[i]) - COMPARED_CHARS))
+                if self._library([texts[one]]) != [out[one]]:
+                    raise ValueError(f"the engines differ on {texts[one][:80]!r}")
+        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
+            out[i] = ids
         return out
 
-    def forget(self) -> None:
-        self.memo, self.old = {}, {}
-
-    def _encode(self, text: str) -> bytes:
-        return self._encode_all([text])[0]
-
-    def _encode_all(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
+    def _library(self, texts: list[str]) -> list[bytes]:
+        found = self.library.encode_batch_fast(texts, add_special_tokens=False) if texts else []
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
-        """The ids of parts, each after a space."""
-        out, width = [], self.type.itemsize
-        for at in range(0, len(parts), TOGETHER):
-            some = parts[at : at + TOGETHER]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, self.type)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(some) or starts[0] or self.added.search(" ".join(some)):
-                out += self._encode_all([" " + w for w in some])
-                continue
-            data, edges = ids.tobytes(), [*(starts * width).tolist(), len(ids) * width]
-            out += [data[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-        return out
-
-    def _learn(self, words: set[str]) -> None:
-        """Remembers what can be of ``words``; the others stay unknown."""
-        new = words.difference(self.memo)
-        if len(self.memo) + len(new) > self.memo_size // 2:
-            self.old, self.memo, new = self.memo, {}, words
-        memo, old = self.memo, self.old
-        missing = new.difference(old)
-        memo.update([(w, old[w]) for w in new - missing])
-        parts = list(missing)
-        if "" in missing or len(" ".join(parts).split()) != len(parts):
-            parts = [w for w in parts if w and not w[0].isspace() and not w[-1].isspace()]
-        memo.update(zip(parts, self._encode_parts(parts), strict=True))
-
 
 _encoders: dict[str, Encoder] = {}
 
@@ -237,7 +235,6 @@ def _encode_parts(batches: Iterator[pa.RecordBatch], path: str, end_id: int) ->
                 low = high
             yield flush(held)
             at = some
-    enc.forget()  # workers are used again, by other operators too; a memo helps little beyond its task
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

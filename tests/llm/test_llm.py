@@ -141,7 +141,9 @@ def test_token_counts(spark):
 def test_token_store(spark):
     df = docs(spark).filter("doc_id is not null").dropDuplicates(["doc_id"])
     kept = token_store.store(df)
-    library = token_store.encoder(kept.vocabulary).library
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(kept.vocabulary)
     start, want = 0, {}
     for d, t in sorted(pairs(df)):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
@@ -157,6 +159,32 @@ def test_token_store(spark):
     assert token_store.encode_documents(none(spark)).count() == 0
 
 
+def test_token_store_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "x y"), (3, "b c"), (3, "a"), (3, "a"), (None, None), (1, "")], "doc_id long, text string")
+    rows = sorted(map(tuple, token_store.encode_documents(df).collect()), key=lambda r: r[1])
+    assert [r[0] for r in rows] == [None, None, 1, 3, 3, 3]  # null ids come first, then ids ascending
+    assert [r[1] for r in rows] == [sum(r[2] for r in rows[:i]) for i in range(6)]
+    assert Counter((r[0], r[2]) for r in rows) == Counter([(None, 3), (None, 1), (1, 1), (3, 3), (3, 2), (3, 2)])
+
+
+def test_token_engines_agree():
+    from tokenizers import Tokenizer
+
+    path = token_store.vocabulary_path()
+    fresh, enc = Tokenizer.from_file(path), token_store.Encoder(path)
+    assert enc.engine is not None
+    rng = random.Random(11)
+    alphabet = [c for c in map(chr, (rng.randrange(0x110000) for _ in range(400))) if not 0xD800 <= ord(c) < 0xE000]
+    alphabet += [*" \n\t\r\x0b\x0c\x85\xa0\u2003\u200b'sdmtrevl0123456789abcdefghij.,;:!?()#@éüß日本語😀क्षि", "<|endoftext|>", " the", "ing", "  "]
+    texts = ["".join(rng.choices(alphabet, k=rng.randrange(60))) for _ in range(4000)] + ["a" * 50_000, " " * 50_000, "ab " * 20_000]
+    want = [np.array(e.ids, enc.type).tobytes() for e in fresh.encode_batch(texts, add_special_tokens=False)]
+    assert [enc.packed(t) for t in texts] == want == enc.packed_all(texts)
+    one = "a{0}b a {0}b {0}{0}1 {0} {0}  x"
+    every = [one.format(chr(c)) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3100 or c % 37 == 0)]
+    enc.engine, whole = None, enc.packed_all(every)  # evaluated before the engine goes
+    assert enc.packed_all(every) == whole
+
+
 def test_token_store_added_tokens(spark):
     from tokenizers import Tokenizer
 
