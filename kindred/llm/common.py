@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -29,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is configured (tests)."""
+    """The folder all executors share; a temporary one only where none is configured on one machine (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="kindred-"))
     return _own[0]
@@ -60,12 +63,27 @@ def writing(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    The table stays until ``discard``; what an operator returns stays for its caller.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with writing(spark):
         df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made, once nothing reads them any more."""
+    for t in tables:
+        path = getattr(t, "_written_at", None)
+        if path:
+            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(conf).delete(there, True)
 
 
 def give_back(batches: Iterator) -> Iterator:
@@ -82,10 +100,6 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def nullable_text(col: str = "text"):
-    return F.coalesce(F.col(col), F.lit(""))
-
-
 def word_array(col):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a column as an array; none for null or blank text."""
     trimmed = F.btrim(F.coalesce(col, F.lit("")), F.lit(WORD_SPACE.decode()))

@@ -6,16 +6,20 @@ tables of fixed size:
 1. Document frequencies: every task sends its shingles as packed sorted runs;
    each range of hashes keeps its most frequent ones (a fixed number in all).
    They only shape the first order, so exactness never rests on them.
-2. Each distinct set (copies collapse) keeps its prefix under order A: rare
-   shingles first.  Two sets with the wanted overlap share a token of it.
+2. Each distinct set (copies collapse) keeps its prefix under order A, rare
+   shingles first, and a sketch: counts of its shingles by hash bucket.  Two
+   sets with the wanted overlap share a token of their prefixes, and the
+   bucket-wise minimum of their sketches sums to the overlap at least.
 3. Prefix tokens meet in buckets.  Each token's block names one pivot; pairs
-   with pivots that pass the length and position filters are candidates.
+   with pivots that pass the length, position and sketch filters are candidates.
 4. Candidates must also share prefix tokens under the orders B and C; what
    passes all filters is verified on whole sets.
-5. ``join`` wants components only: blocks whose members are then still in
-   different ones are joined exactly, across components only.  ``linked`` is the
-   whole join: every two members of a block are candidates, met and verified
-   tile by tile.
+5. Pairs of a block that are then still in different components are looked for
+   in the same way, all pairs of a block, large blocks tile by tile inside the
+   workers; only pairs that pass the sketch filter leave a worker.
+6. ``join`` ends here.  ``linked`` counts every link: links never leave a
+   component, so the sets of a component meet tile by tile, and a worker sends
+   one count per set and tile, not the pairs.  ``link_pairs`` sends the pairs.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, hashed_words, mix, pack_columns, pack_sorted, shingle_hashes, shuffle_width, table, unpack_columns, unpack_sorted, writing, written
+from .common import discard, give_back, hashed_words, mix, pack_columns, pack_sorted, shingle_hashes, shuffle_width, table, unpack_columns, unpack_sorted, writing, written
 from .graph import components
 
 #: Frequent shingles kept for order A, and members of one salt of a frequent token's block.
@@ -131,7 +135,10 @@ class Order:
 
 # --- 2. signatures ------------------------------------------------------------------
 
-SIGNATURE = "doc_id long, n long, s1 long, s2 long, prefix binary"
+SIGNATURE = "doc_id long, n long, s1 long, s2 long, prefix binary, sketch binary"
+KEY = ["s1", "s2", "n"]
+#: log2 of a sketch's buckets, and the largest set that has so many; larger sets have none.
+SKETCHES = ((6, 2_048), (8, 16_384), (10, 65_536), (12, 262_144))
 
 
 def _sums(tokens: np.ndarray) -> tuple[np.int64, np.int64]:
@@ -139,17 +146,51 @@ def _sums(tokens: np.ndarray) -> tuple[np.int64, np.int64]:
     return np.bitwise_xor.reduce(mix(tokens, 31)).view(np.int64), np.sum(mix(tokens, 37), dtype=np.uint64).view(np.int64)
 
 
+def sketch(tokens: np.ndarray) -> bytes | None:
+    """Counts of the tokens by hash bucket, a byte each; None (which lets every pair through) where they don't fit."""
+    for bits, most in SKETCHES:
+        if len(tokens) <= most:
+            counts = np.bincount((mix(tokens, 71) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+    return None
+
+
+class Sketches:
+    """Sketches of many sets at each resolution; a finer one also serves at a coarser, by adding neighbours."""
+
+    def __init__(self, blobs: list[bytes | None]):
+        self.levels, whole = [], [np.frombuffer(b, np.uint8) if b is not None else None for b in blobs]
+        for bits, _ in SKETCHES:
+            has = [i for i, w in enumerate(whole) if w is not None and len(w) >= 1 << bits]
+            place = np.full(len(blobs), -1)
+            place[has] = np.arange(len(has))
+            rows = [whole[i].reshape(1 << bits, -1).sum(1, dtype=np.uint16) for i in has]
+            self.levels.append((place, np.stack(rows) if rows else np.empty((0, 1 << bits), np.uint16)))
+
+    def pass_on(self, x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Which pairs (x[i], y[i]) may have an overlap of wanted[i]."""
+        keep = np.ones(len(x), bool)
+        for place, rows in self.levels:
+            at = np.flatnonzero(keep & (place[x] >= 0) & (place[y] >= 0))
+            size = max(1, (1 << 22) // rows.shape[1])
+            for i in range(0, len(at), size):
+                some = at[i : i + size]
+                most = np.minimum(rows[place[x[some]]], rows[place[y[some]]]).sum(1, dtype=np.int64)
+                keep[some] = most >= wanted[some]
+        return keep
+
+
 def _signatures(batches, width: int, percent: int, frequent):
     order = Order(*frequent.value)
     for batch in batches:
         n_rows = batch.num_rows
-        n, s1, s2, prefix = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), [None] * n_rows
+        n, s1, s2, prefix, counts = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), [None] * n_rows, [None] * n_rows
         for i, tokens in token_sets(batch.column(1), width):
             n[i] = len(tokens)
             s1[i], s2[i] = _sums(tokens)
             chosen, df = order.prefix(tokens, len(tokens) - need(len(tokens), percent) + 1)
-            prefix[i] = pack_columns(chosen & LOW48, df)
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array(prefix, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix"])
+            prefix[i], counts[i] = pack_columns(chosen & LOW48, df), sketch(tokens)
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array(prefix, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "n", "s1", "s2", "prefix", "sketch"])
 
 
 # --- 3. blocks ----------------------------------------------------------------------
@@ -214,17 +255,19 @@ def _blocks(t: pa.Table, percent: int) -> pa.Table:
 
 # --- 4. verification ----------------------------------------------------------------
 
-_BITMAP_BITS, _SLICES = 24, 64
+#: Bits of an id bitmap: 16 for each id, within these bounds; 2**27 bits are 16 MB, whatever the corpus.
+LEAST_BITS, MOST_BITS, _SLICES = 16, 27, 64
 
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
-    """A bitmap of hashed ids of fixed size (2 MB), for a first cut before an exact join."""
-    per = 1 << (_BITMAP_BITS - 3 - 6)
+    """A bitmap of hashed ids of bounded size, for a first cut before an exact join."""
+    size = min(MOST_BITS, max(LEAST_BITS, 4 + ids.count().bit_length()))
+    per = 1 << (size - 3 - 6)
 
     def mark(batches):
-        bits = np.zeros(1 << _BITMAP_BITS, bool)
+        bits = np.zeros(1 << size, bool)
         for batch in batches:
-            bits[(mix(batch.column(0).to_numpy().astype(np.uint64), 53) >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)] = True
+            bits[(mix(batch.column(0).to_numpy().astype(np.uint64), 53) >> np.uint64(64 - size)).astype(np.int64)] = True
         parts = np.packbits(bits).reshape(_SLICES, per)
         some = [i for i in range(_SLICES) if parts[i].any()]
         yield pa.RecordBatch.from_pydict({"slice": pa.array(some, pa.int32()), "bits": pa.array([parts[i].tobytes() for i in some], pa.binary())})
@@ -242,9 +285,10 @@ def id_bitmap(ids: DataFrame) -> np.ndarray:
 def _sets(batches, width: int, percent: int, bitmap):
     """(doc, n, s1, s2, b, c, tokens) of the texts whose id the bitmap has: 48-bit sets, prefixes of orders B and C."""
     bits = np.unpackbits(bitmap.value).view(bool)
+    shift = np.uint64(64 - (len(bits).bit_length() - 1))
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        keep = bits[(mix(ids.astype(np.int64).view(np.uint64), 53) >> np.uint64(64 - _BITMAP_BITS)).astype(np.int64)]
+        keep = bits[(mix(ids.astype(np.int64).view(np.uint64), 53) >> shift).astype(np.int64)]
         if not keep.any():
             continue
         batch = batch.filter(pa.array(keep))
@@ -291,13 +335,31 @@ def _verify_pairs(batches, percent: int):
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(x, y) of the candidate pairs that link."""
-    side = lambda name, *cols: sets.select(F.col("doc").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in cols))
-    near = pairs.join(side("x", "b", "c"), "x").join(side("y", "b", "c"), "y").select("x", "y", "x_b", "x_c", "y_b", "y_c")
-    near = written(near.mapInArrow(lambda b: give_back(_filter_pairs(b)), "x long, y long"), "candidates")
-    whole = near.join(side("x", "tokens"), "x").join(side("y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
-    return written(whole.mapInArrow(lambda b: give_back(_verify_pairs(b, percent)), "x long, y long"), "links")
+def verified(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, width: int, percent: int, also: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(x, y) of the candidate pairs that link, and the sets of the ids that passed the sketch filter (and of ``also``)."""
+    side = lambda d, name, *cols: d.select(F.col("doc").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in cols))
+    looked = pairs.join(side(sketches, "x", "n", "sketch"), "x").join(side(sketches, "y", "n", "sketch"), "y")
+    alike = lambda b: give_back(_sketch_pairs(b, percent))
+    near = written(looked.select("x", "y", "x_n", "y_n", "x_sketch", "y_sketch").mapInArrow(alike, "x long, y long").distinct(), "alike")
+    ids = near.select(F.col("x").alias("doc")).union(near.select("y"))
+    bitmap = pairs.sparkSession.sparkContext.broadcast(id_bitmap((ids.union(also) if also is not None else ids).distinct()))
+    # a repeated id may have several texts: the class's own is the one with its hashes; all are kept
+    sets = written(rows.filter("doc_id is not null").mapInArrow(lambda b: give_back(_sets(b, width, percent, bitmap)), SETS), "sets", "none")
+    shared = near.join(side(sets, "x", "b", "c"), "x").join(side(sets, "y", "b", "c"), "y").select("x", "y", "x_b", "x_c", "y_b", "y_c")
+    shared = written(shared.mapInArrow(lambda b: give_back(_filter_pairs(b)), "x long, y long"), "candidates")
+    whole = shared.join(side(sets, "x", "tokens"), "x").join(side(sets, "y", "tokens"), "y").select("x", "y", "x_tokens", "y_tokens")
+    links = written(whole.mapInArrow(lambda b: give_back(_verify_pairs(b, percent)), "x long, y long"), "links")
+    discard(near, shared)
+    return links, sets
+
+
+def _sketch_pairs(batches, percent: int):
+    for batch in batches:
+        n, m = (batch.column(i).to_numpy() for i in (2, 3))
+        some = Sketches([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()])
+        at = np.arange(batch.num_rows)
+        fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        yield batch.select(["x", "y"]).filter(pa.array(fits & some.pass_on(at, at + len(at), overlap_needed(n, m, percent)), pa.bool_()))
 
 
 def _fits(n, pos, m, other, percent: int):
@@ -308,68 +370,192 @@ def _fits(n, pos, m, other, percent: int):
 
 
 def _index(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(signatures of rows, classes of equal sets, blocks, sets of the classes in blocks), written."""
+    """(id and text, signatures of rows, classes of equal sets, blocks), the last three written."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_tokens(rows, width))
     signs = written(rows.mapInArrow(lambda b: give_back(_signatures(b, width, percent, frequent)), SIGNATURE), "signatures", "none")
-    reps = written(signs.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "classes", "none")
+    reps = written(signs.filter("n > 0 and doc_id is not null").groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")), "classes", "none")
 
     buckets = 4 * shuffle_width(spark)
     packed = reps.select("rep", "n", "prefix").mapInArrow(lambda b: give_back(_bucketed(b, buckets)), "bucket int, rows binary")
     blocks = written(packed.groupBy("bucket").applyInArrow(lambda t: _blocks(t, percent), BLOCKS), "blocks")
+    return rows, signs, reps, blocks
 
-    bitmap = spark.sparkContext.broadcast(id_bitmap(blocks.select("doc").distinct()))
-    # a repeated id may have several texts: the class's own is the one with its hashes; all are kept
-    sets = written(rows.filter("doc_id is not null").mapInArrow(lambda b: give_back(_sets(b, width, percent, bitmap)), SETS), "sets", "none")
-    return signs, reps, blocks, sets
 
+# --- 5. pairs inside groups, in the workers -------------------------------------------
 
-def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+#: Rows of a tile of a large group, shingles of one, and pairs looked at together.
+TILE, TILE_TOKENS, TOGETHER = 1024, 1 << 20, 1 << 20
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer
-    than ``width`` words is one shingle; one without words, or null, has none
-    and links with nothing.  Sets link when ``100 * both >= percent * either``;
-    component_id is the least id reachable, its own included.  Rows that repeat
-    an id are one node: their texts count as linked.  A null id keeps its row
-    with a null component.  Empty tables give no rows.  Shingles are compared
-    by 64-bit (in verification 48-bit) hashes.
+
+def _meetings(group: np.ndarray, own: np.ndarray, apart: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (a, b) of rows of one group that pass the length filter, n[a] <= n[b], some at a time.
+
+    ``group`` numbers the groups; where a group is a cell of two tiles
+    (``apart``), rows of one tile (``own``) don't meet: they do so elsewhere.
+    """
+    order = np.lexsort((n, group))
+    g, size = group[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
+    last, two = np.append(first[1:], len(g)) - 1, apart[order]
+    tile, reach = own[order], np.zeros(len(g), np.int64)
+    for a, b in zip(first, last, strict=True):
+        if b > a:
+            # the furthest row that is not too large for this one
+            reach[a : b + 1] = np.searchsorted(size[a : b + 1], 100 * size[a : b + 1] // percent, side="right") + a - 1 - np.arange(a, b + 1)
+    held, count = [], 0
+    alive = np.flatnonzero(reach > 0)
+    d = 1
+    while len(alive):
+        pick = alive[~two[alive] | (tile[alive] != tile[alive + d])]
+        held.append((pick, pick + d))
+        count += len(pick)
+        if count >= TOGETHER:
+            yield tuple(order[np.concatenate(k)] for k in zip(*held, strict=True))
+            held, count = [], 0
+        d += 1
+        alive = alive[reach[alive] >= d]
+    if count:
+        yield tuple(order[np.concatenate(k)] for k in zip(*held, strict=True))
+
+
+def _numbered(*columns: np.ndarray) -> np.ndarray:
+    """A number for each distinct row of the columns."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _cells(rows: DataFrame, more: DataFrame, key: str, by: str) -> DataFrame:
+    """Deals rows of large groups to cells (one, two) of two tiles: a row goes to the cells of its own tile.
+
+    ``more`` has (key, more) of the groups of more than one tile, and their
+    number of tiles less one.
     """
-    signs, reps, blocks, sets = _index(docs, width, percent, id_col, text_col)
+    dealt = rows.join(more, key, "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(by), F.col("more") + 1).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("more"))))
+    return dealt.withColumns({"one": F.least("own", "with"), "two": F.greatest("own", "with")}).drop("with", "more")
+
+
+def _unlinked_pairs(t: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a bucket's blocks in different components that pass the length, position and sketch filters."""
+    get = lambda name: t.column(name).to_numpy()
+    group, label = _numbered(get("token"), get("one"), get("two")), get("label")
+    # blocks whose rows are all in one component have nothing to find
+    order = np.argsort(group, kind="stable")
+    starts = np.flatnonzero(np.concatenate(([True], np.diff(group[order]) != 0)))
+    mixed = np.minimum.reduceat(label[order], starts) != np.maximum.reduceat(label[order], starts)
+    t = t.filter(pa.array(mixed[group]))
+    found = [np.empty((0, 2), np.int64)]
+    if t.num_rows:
+        group, label, doc, n, pos, pivot = group[mixed[group]], *(get(k) for k in ("label", "doc", "n", "pos", "pivot"))
+        sketches = Sketches(t.column("sketch").to_pylist())
+        for a, b in _meetings(group, get("own"), get("one") != get("two"), n, percent):
+            wanted = overlap_needed(n[a], n[b], percent)
+            # a block's pairs with its pivot were candidates before
+            keep = (label[a] != label[b]) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= wanted) & (pivot[a] != doc[b]) & (pivot[b] != doc[a])
+            a, b, wanted = a[keep], b[keep], wanted[keep]
+            keep = sketches.pass_on(a, b, wanted)
+            x, y = doc[a[keep]], doc[b[keep]]
+            found.append(np.unique(np.stack((np.minimum(x, y), np.maximum(x, y)), 1), axis=0))
+    pairs = np.unique(np.concatenate(found), axis=0)
+    return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
+
+
+def _several(signs: DataFrame) -> DataFrame:
+    """Ids with more than one set."""
+    return signs.filter("n > 0 and doc_id is not null").select("doc_id", *KEY).distinct().groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id")
+
+
+def _links(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str):
+    """(signatures, classes, links that connect every component, sets of all ids in links), written."""
+    rows, signs, reps, blocks = _index(docs, width, percent, id_col, text_col)
     c = F.col
+    sketches = reps.select(c("rep").alias("doc"), "n", "sketch")
     first = blocks.filter(c("doc") != c("pivot")).filter(_fits(c("n"), c("pos"), c("pivot_n"), c("pivot_pos"), percent))
     pairs = first.select(F.least("doc", "pivot").alias("x"), F.greatest("doc", "pivot").alias("y")).distinct()
-    links = verified(pairs, sets, percent)
+    links, sets = verified(pairs, rows, sketches, width, percent)
     labels = components(links.select(c("x").alias("a"), c("y").alias("b")))
 
-    labelled = written(blocks.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("label")), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-    rest = labelled.join(mixed, "token", "left_semi")
-    # a partner of at least one's own size shares a token among the first of the smaller set
-    short = rest.filter(c("pos") <= c("n") - F.ceil((F.lit(2 * percent) * c("n")) / F.lit(100 + percent)))
-    left, right = short.select("token", *(c(k).alias(f"l_{k}") for k in ("doc", "n", "pos", "label"))), rest.select("token", *(c(k).alias(f"r_{k}") for k in ("doc", "n", "pos", "label")))
-    cross = left.join(right, (left["token"] == right["token"]) & (c("l_label") != c("r_label")) & (c("l_n") <= c("r_n")) & _fits(c("l_n"), c("l_pos"), c("r_n"), c("r_pos"), percent))
-    more = verified(cross.select(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y")).distinct(), sets, percent)
+    spark, buckets = docs.sparkSession, 4 * shuffle_width(docs.sparkSession)
+    known = sketches.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "sketch", F.coalesce("component", "doc").alias("label"))
+    large = blocks.groupBy("token").agg((F.count("*") / F.lit(TILE)).cast("int").alias("more")).filter("more > 0")
+    met = _cells(blocks.select("token", "doc", "n", "pos", "pivot"), large, "token", "doc").join(known, ["doc", "n"])
+    met = met.select(F.pmod(F.xxhash64("token", "one", "two"), F.lit(buckets)).alias("bucket"), "token", "one", "two", "own", "doc", "n", "pos", "pivot", "label", "sketch")
+    rest = met.groupBy("bucket").applyInArrow(lambda t: _unlinked_pairs(t, percent), "x long, y long").distinct()
+    rest = written(rest, "unlinked")
+    several = written(_several(signs), "several")
+    more, further = verified(rest, rows, sketches, width, percent, several)
+    every = written(links.union(more).distinct(), "links")
+    ids = every.select(c("x").alias("doc")).union(every.select("y")).union(several).distinct()
+    sets_of_all = written(sets.union(further).join(ids, "doc", "left_semi"), "sets", "none")
+    discard(blocks, links, labels, rest, more, sets, further, several)
+    return signs, reps, every, sets_of_all
+
+
+def _labelled(signs: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+    """(s1, s2, n, rep, component) of every class that ``links(x, y)`` or repeated ids connect with another."""
+    classes = signs.filter("n > 0 and doc_id is not null").select("doc_id", *KEY).distinct()
+    # an id with several texts makes their classes one; such ids alone are joined with their classes
+    of_several = classes.join(_several(signs), "doc_id", "left_semi").join(reps.select(*KEY, "rep"), KEY)
+    twins = of_several.groupBy("doc_id").agg(F.min("rep").alias("a")).join(of_several.select("doc_id", F.col("rep").alias("b")), "doc_id").select("a", "b")
+    final = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")).union(twins))  # a self loop keeps its node
+    return reps.select(*KEY, "rep").join(final.withColumnRenamed("node", "rep"), "rep")
+
+
+#: A class is hot from this share of all rows on, so there are at most as many hot ones; and rows of one salt of it.
+HOT_SHARE, SALTED = 10_000, 1000
+
+
+def _of_rows(signs: DataFrame, reps: DataFrame, info: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id, more) of every row, from classes' ``info``.
+
+    A row without words has the component of its id's other rows, if there are
+    any, and 0 elsewhere; rows without an id have no component.  The rows of a
+    hot class are dealt over salts, its one row of ``info`` goes to each; hot
+    classes are HOT_SHARE at most, whatever the corpus, so they are broadcast.
+    """
+    most = max(SALTED, signs.count() // HOT_SHARE)
+    hot = F.broadcast(reps.filter(F.col("rows") > most).select(*KEY, F.ceil(F.col("rows") / SALTED).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    rows = signs.select("doc_id", *KEY).join(hot, KEY, "left").withColumn("salt", F.pmod(F.xxhash64("doc_id"), salts).cast("int")).drop("salts")
+    info = info.join(hot, KEY, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    count = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in more]
+    nothing = [F.lit(0).cast("long").alias(c) for c in more]
+    named = rows.filter("n > 0 and doc_id is not null")
+    out = named.join(info, [*KEY, "salt"], "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", *count)
+    blank = rows.filter("n = 0 and doc_id is not null").select("doc_id")
+    others = named.join(blank.distinct(), "doc_id", "left_semi").join(info, [*KEY, "salt"]).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    out = out.unionByName(blank.join(others, "doc_id", "left").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *nothing))
+    return out.unionByName(rows.filter("doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), *nothing))
 
-    return _with_components(signs, reps, links.union(more)).select("doc_id", "n_shingles", "component_id")
 
+def join(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
-def _with_components(signs: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
-    """Every row of ``signs`` with the component that ``links(x, y)`` and repeated ids give it."""
-    every = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    classes = signs.filter("n > 0 and doc_id is not null").select("doc_id", "n", "s1", "s2").join(reps.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "rep")
-    repeats = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b")
-    twins = classes.join(repeats.select("doc_id", "a"), "doc_id").select("a", F.col("rep").alias("b"))
-    final = components(every.union(twins))
-    of_class = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    rows = signs.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2")
-    return rows.join(of_class, "doc_id", "left").select("doc_id", "n_shingles", "s1", "s2", F.coalesce("component_id", "doc_id").alias("component_id"))
+    Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a text of fewer
+    than ``width`` words is one shingle; one without words, or null, has none
+    and links with nothing.  Very long texts are hashed piece by piece and
+    compared whole.  Sets link when ``100 * both >= percent * either``;
+    component_id is the least id reachable, its own included.  Rows that repeat
+    an id are one node: their texts count as linked.  A null id keeps its row
+    with a null component.  Empty tables give no rows; other columns are
+    ignored.  Shingles are compared by 64-bit (in verification 48-bit) hashes.
+    """
+    signs, reps, links, sets = _links(docs, width, percent, id_col, text_col)
+    labelled = _labelled(signs, reps, links).select(*KEY, "component")
+    info = reps.select(*KEY, "rep").join(labelled, KEY, "left").select(*KEY, F.coalesce("component", "rep").alias("component_id"))
+    out = written(_of_rows(signs, reps, info), "components")
+    discard(signs, reps, links, sets)
+    return out
 
 
-#: Members of a tile of a large block, and pairs of one bucket of tiles on average.
-TILE, BUCKET_PAIRS = 256, 1 << 16
-CLASS_PAIRS = "x long, y long, " + ", ".join(f"{s}_{c} long" for s in "xy" for c in ("s1", "s2", "n"))
+# --- 6. every link ------------------------------------------------------------------
 
 
 def _overlaps(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -385,8 +571,8 @@ def _overlaps(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarra
     for a, b in zip(first, np.append(first[1:], len(x)), strict=True):
         own = flat[ends[x[a]] - lengths[x[a]] : ends[x[a]]]
         has[own] = True
-        for at in range(a, b, TILE):
-            others = y[at : min(b, at + TILE)]
+        for at in range(a, b, 256):
+            others = y[at : min(b, at + 256)]
             hits = has[np.concatenate([flat[ends[k] - lengths[k] : ends[k]] for k in others])]
             edges = np.concatenate(([0], np.cumsum(lengths[others])[:-1]))
             out[at : at + len(others)] = np.add.reduceat(hits, edges, dtype=np.int64)
@@ -394,85 +580,95 @@ def _overlaps(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray]) -> np.ndarra
     return out
 
 
-def _verify_bucket(pairs: pa.Table, sets: pa.Table, percent: int) -> pa.Table:
-    """The linking classes of a bucket's candidate pairs; an id with several texts has several sets."""
-    classes, of_doc = {}, {}
-    for i, (doc, *key) in enumerate(zip(*(sets.column(c).to_pylist() for c in ("doc", "s1", "s2", "n")), strict=True)):
-        if (doc, *key) not in classes:
-            classes[(doc, *key)] = i
-            of_doc.setdefault(doc, []).append(i)
-    both = [(i, j) for a, b in zip(pairs.column("x").to_pylist(), pairs.column("y").to_pylist(), strict=True) for i in of_doc.get(a, ()) for j in of_doc.get(b, ())]
-    x, y = (np.array([p[k] for p in both], np.int64) for k in (0, 1))
-    order = np.lexsort((y, x))
-    x, y = x[order], y[order]
-    for column in ("b", "c"):
-        held = [unpack_sorted(v) for v in sets.column(column).to_pylist()]
-        keep = _overlaps(x, y, held) > 0
-        x, y = x[keep], y[keep]
-    held = [unpack_sorted(v) for v in sets.column("tokens").to_pylist()]
-    common, lengths = _overlaps(x, y, held), np.array([len(h) for h in held], np.int64)
-    keep = 100 * common >= percent * (lengths[x] + lengths[y] - common)
-    x, y = x[keep], y[keep]
-    found = [sets.column("doc").take(pa.array(k)) for k in (x, y)] + [sets.column(c).take(pa.array(k)) for k in (x, y) for c in ("s1", "s2", "n")]
-    return pa.table(found, names=[f.split()[0] for f in CLASS_PAIRS.split(", ")])
-
-
-def _all_pairs(blocks: DataFrame, percent: int) -> DataFrame:
-    """(x, y, xt, yt, token) of every two classes of a block that pass the length and position filters,
-    once, under the least token they meet in; xt and yt are tiles of that token's block."""
-    c = F.col
-    tiles = blocks.groupBy("token").agg((F.count("*") / F.lit(TILE)).cast("int").alias("more")).filter("more > 0")
-    rows = blocks.join(tiles, "token", "left").select("token", "doc", "n", "pos", F.pmod(F.xxhash64("doc"), F.coalesce("more", F.lit(0)) + 1).cast("int").alias("tile"))
-    short = rows.filter(c("pos") <= c("n") - F.ceil((F.lit(2 * percent) * c("n")) / F.lit(100 + percent)))
-    # every row of a large block meets each of its tiles: the join's keys are (token, tile of the left, tile of the right)
-    side = lambda d, p: d.select("token", *(c(k).alias(f"{p}_{k}") for k in ("doc", "n", "pos", "tile")))
-    spread = lambda d, own, other: d.join(tiles, "token", "left").withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0))))).drop("more")
-    left, right = spread(side(short, "l"), "l_tile", "r_tile"), spread(side(rows, "r"), "r_tile", "l_tile")
-    met = left.join(right, ["token", "l_tile", "r_tile"]).filter((c("l_doc") != c("r_doc")) & (c("l_n") <= c("r_n")) & _fits(c("l_n"), c("l_pos"), c("r_n"), c("r_pos"), percent))
-    turned = c("l_doc") > c("r_doc")
-    pairs = met.select(F.least("l_doc", "r_doc").alias("x"), F.greatest("l_doc", "r_doc").alias("y"), F.struct("token", F.when(turned, c("r_tile")).otherwise(c("l_tile")).alias("xt"), F.when(turned, c("l_tile")).otherwise(c("r_tile")).alias("yt")).alias("at"))
-    return pairs.groupBy("x", "y").agg(F.min("at").alias("at")).select("x", "y", "at.*")
-
-
-def linked(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The whole join: rows and pairs.
-
-    rows: (doc_id, n_shingles, component_id, n_links) of every row of ``docs``,
-    as ``join`` has them.  A record is an id with a set; n_links counts the other
-    records whose set links with the row's own, exact copies included.  It is 0
-    for texts without words, and for null ids, which link with nothing.
-    pairs: (x, y, x_size, y_size, x_n, y_n), every two different sets that link,
-    once, each named by the least id that has it, with the ids that have it and
-    its shingles.
+MEMBERS = "rep long, s1 long, s2 long, n long, others long"
+PAIRS = "x long, y long, x_size long, y_size long, x_n long, y_n long"
+
+
+def _linked_pairs(t: pa.Table, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the rows of a bucket whose sets link, each pair of a cell once."""
+    get = lambda name: t.column(name).to_numpy()
+    n, sketches = get("n"), Sketches(t.column("sketch").to_pylist())
+    group = _numbered(get("label"), get("one"), get("two"))
+    blobs = {name: t.column(name).to_pylist() for name in ("b", "c", "tokens")}
+    for a, b in _meetings(group, get("own"), get("one") != get("two"), n, percent):
+        keep = sketches.pass_on(a, b, overlap_needed(n[a], n[b], percent))
+        a, b = a[keep], b[keep]
+        for name in ("b", "c", "tokens"):
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+            both = _overlaps(at[: len(a)], at[len(a) :], [unpack_sorted(blobs[name][i]) for i in used])
+            # orders B and C: a shared prefix token; then whole sets
+            keep = both > 0 if name != "tokens" else 100 * both >= percent * (n[a] + n[b] - both)
+            a, b = a[keep], b[keep]
+        yield a, b
+
+
+def _count_links(t: pa.Table, percent: int) -> pa.Table:
+    """For each set of a bucket's cells, the records of the other sets that link with it there."""
+    size, others = t.column("size").to_numpy(), np.zeros(t.num_rows, np.int64)
+    for a, b in _linked_pairs(t, percent):
+        np.add.at(others, a, size[b])
+        np.add.at(others, b, size[a])
+    some = t.select(["rep", "s1", "s2", "n"]).append_column("others", pa.array(others))
+    return some.filter(pa.array(others > 0))
+
+
+def _list_links(t: pa.Table, percent: int) -> pa.Table:
+    """The linking pairs of a bucket's cells, the lesser id first."""
+    rep, size, n = (t.column(k).to_numpy() for k in ("rep", "size", "n"))
+    found = [tuple(np.empty(0, np.int64) for _ in range(6))]
+    for a, b in _linked_pairs(t, percent):
+        turned = rep[a] > rep[b]
+        a, b = np.where(turned, b, a), np.where(turned, a, b)
+        found.append((rep[a], rep[b], size[a], size[b], n[a], n[b]))
+    return pa.table([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=[f.split()[0] for f in PAIRS.split(", ")])
+
+
+def _met(spark, signs: DataFrame, reps: DataFrame, links: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes with size and component, sets of all members of components dealt to buckets of cells)."""
+    sizes = signs.filter("n > 0 and doc_id is not null").select("doc_id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("size"))
+    labelled = written(_labelled(signs, reps, links).select(*KEY, F.col("component").alias("label")), "labelled")
+    classes = written(reps.select(*KEY, "rep", "sketch").join(sizes, KEY).join(labelled, KEY, "left"), "sizes")
+    # a class is in the sets once for every row that repeats its least id and text: one of them is taken
+    whole = sets.withColumnRenamed("doc", "rep").join(classes.filter("label is not null"), [*KEY, "rep"]).dropDuplicates([*KEY, "rep"])
+    tiles = classes.filter("label is not null").groupBy("label").agg((F.greatest(F.count("*") / F.lit(TILE), F.sum("n") / F.lit(TILE_TOKENS))).cast("int").alias("more"), F.sum("n").alias("tokens"))
+    large = tiles.filter("more > 0").select("label", "more")
+    total = tiles.agg(F.sum(F.col("tokens") * (F.col("more") + 1))).first()[0] or 0
+    buckets = max(4 * shuffle_width(spark), int(total) // (2 * TILE_TOKENS))
+    dealt = _cells(whole, large, "label", "s1").select(F.pmod(F.xxhash64("label", "one", "two"), F.lit(buckets)).alias("bucket"), "label", "one", "two", "own", "rep", *KEY, "size", "sketch", "b", "c", "tokens")
+    return classes, dealt, labelled
+
+
+def linked(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) of every row of ``docs``, the first three as ``join`` has them.
+
+    A record is an id with a set; n_links counts the other records whose set
+    links with the row's own, exact copies included.  It is 0 for texts without
+    words, and for null ids, which link with nothing.  Exact copies are one set
+    with a size.  Different sets of a component are compared pair by pair in
+    the workers, so a component's work grows with the square of its distinct
+    sets, its rows with the number of its tiles.
     """
-    signs, reps, blocks, sets = _index(docs, width, percent, id_col, text_col)
-    pairs = written(_all_pairs(blocks, percent), "candidates")
-    buckets = max(4 * shuffle_width(docs.sparkSession), pairs.count() // BUCKET_PAIRS)
-    placed = pairs.select(F.pmod(F.xxhash64("token", "xt", "yt"), F.lit(buckets)).alias("bucket"), "x", "y")
-    wanted = placed.select(F.col("bucket").alias("of"), F.col("x").alias("doc")).union(placed.select("bucket", "y")).distinct()
-    dealt = wanted.join(sets, "doc").select("of", "doc", "s1", "s2", "n", "b", "c", "tokens")
-    check = lambda p, s: _verify_bucket(p, s, percent)
-    found = written(placed.groupBy("bucket").cogroup(dealt.groupBy("of")).applyInArrow(check, CLASS_PAIRS), "links")
-
-    key = ["s1", "s2", "n"]
-    sizes = signs.filter("n > 0 and doc_id is not null").select("doc_id", *key).distinct().groupBy(*key).agg(F.count("*").alias("size"), F.min("doc_id").alias("rep"))
-    sizes = written(sizes, "sizes")
-    x, y = (F.struct(*(F.col(f"{p}_{k}").alias(k) for k in key)) for p in "xy")
-    # repeated ids may bring a pair of classes more than once, either way round
-    met = found.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")).filter("x < y").distinct()
-    for p in "xy":
-        named = sizes.select(F.struct(*key).alias(p), F.col("size").alias(f"{p}_size"), F.col("rep").alias(f"{p}_rep"))
-        met = met.join(named, p)
-    links = written(met, "class-links")
-    ends = links.select(F.col("x").alias("k"), F.col("y_size").alias("size")).union(links.select("y", "x_size"))
-    others = ends.groupBy("k").agg(F.sum("size").alias("others")).select("k.*", "others")
-    counts = sizes.join(others, key, "left").select("s1", "s2", F.col("n").alias("n_shingles"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("count"))
-    rows = _with_components(signs, reps, found.select("x", "y").distinct()).join(counts, ["s1", "s2", "n_shingles"], "left")
-    rows = rows.select("doc_id", "n_shingles", "component_id", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("count", F.lit(0))).cast("long").alias("n_links"))
-    turned = F.col("x_rep") > F.col("y_rep")
-    side = lambda one, two, n: F.when(turned, F.col(two)).otherwise(F.col(one)).alias(n)
-    pairs = links.select(F.least("x_rep", "y_rep").alias("x"), F.greatest("x_rep", "y_rep").alias("y"), side("x_size", "y_size", "x_size"), side("y_size", "x_size", "y_size"), side("x.n", "y.n", "x_n"), side("y.n", "x.n", "y_n"))
-    return rows, pairs
+    signs, reps, links, sets = _links(docs, width, percent, id_col, text_col)
+    classes, dealt, labelled = _met(docs.sparkSession, signs, reps, links, sets)
+    counts = written(dealt.groupBy("bucket").applyInArrow(lambda t: _count_links(t, percent), MEMBERS), "link-counts")
+    others = counts.groupBy(*KEY).agg(F.sum("others").alias("others"))
+    info = classes.join(others, KEY, "left").select(*KEY, F.coalesce("label", "rep").alias("component_id"), (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    out = written(_of_rows(signs, reps, info, "n_links"), "linked")
+    discard(signs, reps, links, sets, classes, labelled, counts)
+    return out
+
+
+def link_pairs(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(x, y, x_size, y_size, x_n, y_n): every two different sets that link, once, each named by the
+    least id that has it, with the number of ids that have it and its shingles.  Its rows grow with
+    the links themselves; ``linked`` only counts them."""
+    signs, reps, links, sets = _links(docs, width, percent, id_col, text_col)
+    classes, dealt, labelled = _met(docs.sparkSession, signs, reps, links, sets)
+    out = written(dealt.groupBy("bucket").applyInArrow(lambda t: _list_links(t, percent), PAIRS), "link-pairs")
+    discard(signs, reps, links, sets, classes, labelled)
+    return out
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -483,5 +679,5 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
 
 def query(spark, sf_dir):
-    """The whole join; the query has three columns by contract, ``linked`` has n_links and the pairs."""
-    return linked(table(spark, sf_dir, "documents"), 3, 90)[0].drop("n_links")
+    """The whole join: a row per document with its component and its number of links."""
+    return linked(table(spark, sf_dir, "documents"), 3, 90)

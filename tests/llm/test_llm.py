@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.llm import chat, decontaminate, fixity, html_text, jaccard, licenses, mixing, quality, token_counts, token_store
+from kindred.llm import chat, decontaminate, fixity, graph, html_text, jaccard, licenses, mixing, quality, token_counts, token_store
 from kindred.llm.common import hashed_words, text_buffers
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, size long, hash string"
@@ -68,29 +68,62 @@ def test_jaccard(spark, k, percent):
     assert jaccard.join(none(spark), k, percent).count() == 0
 
 
-@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 256), (5, 80, 256), (5, 80, 3)])
+@pytest.mark.parametrize(("k", "percent", "tile"), [(3, 90, 256), (5, 80, 3)])
 def test_jaccard_links(spark, monkeypatch, k, percent, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "TOGETHER", 50)
+    monkeypatch.setattr(jaccard, "SALTED", tile)
     near = []
     for i in range(12):  # near copies that mostly link with each other, not only with one of them
         w = BASE.split()
         w[5 + 9 * i] = f"n{i}"
         near.append((100 + i, " ".join(w), "en", "a", 0, 1, 2, "x"))
-    df = docs(spark).union(spark.createDataFrame([*near, (200, near[0][1], *near[0][2:])], SCHEMA))
+    # an id with two texts that link with each other only, one with a text and a blank, one with two texts that differ
+    twice = [(300, "p q r s t u v w x y z " * 9 + t, *near[0][2:]) for t in ("", "z")] + [(301, t, *near[0][2:]) for t in ("", near[1][1])] + [(302, t, *near[0][2:]) for t in ("lone words here", near[2][1])]
+    df = docs(spark).union(spark.createDataFrame([*near, (200, near[0][1], *near[0][2:]), *twice], SCHEMA))
     rows = [(d, shingles(t, k)) for d, t in pairs(df)]
     records = {(d, s) for d, s in rows if d is not None and s}
     link = lambda s, t: 100 * len(s & t) >= percent * len(s | t)
     want = Counter((d, len(s), 0 if d is None or not s else sum(link(s, t) for _, t in records) - 1) for d, s in rows)
-    got, met = jaccard.linked(df, k, percent)
+    got, met = jaccard.linked(df, k, percent), jaccard.link_pairs(df, k, percent)
     assert Counter((r["doc_id"], r["n_shingles"], r["n_links"]) for r in got.collect()) == want
     assert Counter(tuple(r) for r in got.drop("n_links").collect()) == Counter(tuple(r) for r in jaccard.join(df, k, percent).collect())
     ids = {}
     for d, s in records:
         ids.setdefault(s, []).append(d)
-    sets = sorted(ids, key=lambda s: min(ids[s]))
+    sets = sorted(ids, key=lambda s: (min(ids[s]), len(s)))  # of one id, the smaller set comes first
     whole = Counter((min(ids[s]), min(ids[t]), len(ids[s]), len(ids[t]), len(s), len(t)) for i, s in enumerate(sets) for t in sets[i + 1 :] if link(s, t))
     assert Counter(tuple(r) for r in met.collect()) == whole and len(whole) > 12
-    assert [x.count() for x in jaccard.linked(none(spark), k, percent)] == [0, 0]
+    assert jaccard.linked(none(spark), k, percent).count() == 0 == jaccard.link_pairs(none(spark), k, percent).count()
+
+
+def test_sketches_bound_overlaps():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (3, 60, 500, 2_100, 20_000, 70_000, 300_000)]
+    sets += [np.unique(np.concatenate((s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 9 + 1).astype(np.uint64)))) for s in sets]
+    sets += [np.zeros(1, np.uint64)]
+    kept = jaccard.Sketches([jaccard.sketch(s) for s in sets])
+    x, y = (k.ravel() for k in np.meshgrid(range(len(sets)), range(len(sets))))
+    both = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(x, y, strict=True)])
+    assert kept.pass_on(x, y, both).all()  # an upper bound, whatever the sizes
+    assert jaccard.sketch(np.full(1000, 7, np.uint64)) is None
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(100, 200)] + [(500, 500), (None, 3), (700, 600), (650, 700), (600, 650)]
+    got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    want = {i: 0 for i in range(61)} | {i: 100 for i in range(100, 201)} | {500: 500, 600: 600, 650: 600, 700: 600}
+    assert got == want
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_of_each(spark):
+    df = docs(spark)
+    kept = jaccard.one_of_each(df)
+    lead = {r["doc_id"]: r["component_id"] for r in jaccard.join(df, 5, 80).collect()}
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(t for t in map(tuple, df.collect()) if t[0] is None or lead[t[0]] == t[0])
+    assert jaccard.one_of_each(none(spark)).count() == 0
 
 
 def test_word_hashing_in_pieces():
