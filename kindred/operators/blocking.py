@@ -11,6 +11,11 @@ from kindred.functions.text import first_token, last_token, normalize, normalize
 CAP = 250
 #: Passes in the order in which gains are reported.
 PASSES = ("exact", "prefix6", "first_token", "postal")
+#: Passes over single tokens or pairs of them, and the selective union: the four passes and two of these.
+TOKEN_PASSES = ("house_addr_token", "name_addr_token", "rare_name_token", "rare_addr_token")
+SELECTIVE_PASSES = (*PASSES, "house_addr_token", "name_addr_token")
+#: Targets of a country beyond which a token counts as generic, and candidates of an entity from one token pass.
+GENERIC, PER_ENTITY = 100, 200
 EXTRA_PASSES = ("house_addr_token", "name_addr_token", "exact_any_country", "rare_name_token", "rare_addr_token", "addr_tail")
 
 
@@ -76,6 +81,45 @@ def candidates(norm: DataFrame, passes=PASSES, cap: int = CAP) -> DataFrame:
     return pairs_by_pass(keys(own, passes), keys(target, passes), cap).select("s1_id", "cand_id").distinct()
 
 
+def generic_tokens(target_keys: DataFrame, most: int = GENERIC) -> DataFrame:
+    """(country, token) of tokens in more than ``most`` targets; ``target_keys`` has the passes on single tokens."""
+    single = target_keys.filter(F.col("pass").isin("rare_name_token", "rare_addr_token")).select("entity_id", "country", F.col("key").alias("token")).distinct()
+    return single.groupBy("country", "token").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("country", "token")
+
+
+def specific(some_keys: DataFrame, generic: DataFrame) -> DataFrame:
+    """Keys without those of token passes that hold a generic token."""
+    tokens = F.when(F.col("pass") == "house_addr_token", F.array(F.split_part("key", F.lit("|"), F.lit(2)))).otherwise(F.split("key", r"\|"))
+    plain, composite = some_keys.filter(~F.col("pass").isin(*TOKEN_PASSES)), some_keys.filter(F.col("pass").isin(*TOKEN_PASSES))
+    parts = composite.select("*", F.explode(tokens).alias("token"))
+    bad = parts.join(generic, ["country", "token"], "left_semi").select("pass", "country", "key").distinct()
+    return plain.unionByName(composite.join(bad, ["pass", "country", "key"], "left_anti"))
+
+
+def selective_pairs(norm: DataFrame, passes=SELECTIVE_PASSES, cap: int = CAP, most: int = GENERIC, per_entity: int = PER_ENTITY) -> DataFrame:
+    """(pass, s1_id, cand_id) through capped blocks, generic tokens left out, and from each token pass
+    at most ``per_entity`` candidates of an entity: those of its least blocks, ties by id."""
+    on = ["pass", "country", "key"]
+    own, target = norm.filter("source = 1"), norm.filter("source <> 1")
+    generic = generic_tokens(keys(target, ("rare_name_token", "rare_addr_token")), most)
+    own_keys, target_keys = specific(keys(own, passes), generic), specific(keys(target, passes), generic)
+    kept = target_keys.join(allowed(target_keys, cap), on)
+    met = own_keys.withColumnRenamed("entity_id", "s1_id").join(kept.withColumnRenamed("entity_id", "cand_id"), on)
+    best = met.groupBy("pass", "s1_id", "cand_id").agg(F.min("n").alias("n"))
+    place = F.row_number().over(W.partitionBy("pass", "s1_id").orderBy("n", "cand_id"))
+    return best.withColumn("place", place).filter(~F.col("pass").isin(*TOKEN_PASSES) | (F.col("place") <= per_entity)).select("pass", "s1_id", "cand_id")
+
+
+def pairs_by_source(norm: DataFrame, passes=PASSES, cap: int = CAP) -> DataFrame:
+    """(pass, target, s1_id, cand_id): each target source has blocks and caps of its own."""
+    on = ["pass", "target", "country", "key"]
+    of = norm.select("entity_id", F.concat(F.lit("S"), F.col("source").cast("string")).alias("target"))
+    target_keys = keys(norm.filter("source <> 1"), passes).join(of, "entity_id")
+    fits = target_keys.groupBy(*on).agg(F.count("*").alias("n")).filter(F.col("n") <= cap)
+    kept = target_keys.join(fits, on, "left_semi").withColumnRenamed("entity_id", "cand_id")
+    return keys(norm.filter("source = 1"), passes).withColumnRenamed("entity_id", "s1_id").join(kept, ["pass", "country", "key"]).select("pass", "target", "s1_id", "cand_id").distinct()
+
+
 def widen(norm: DataFrame, pairs: DataFrame) -> DataFrame:
     """One row per source-1 entity with its candidates as a comma list in order, '' when none."""
     lists = pairs.groupBy("s1_id").agg(F.array_join(F.array_sort(F.collect_set("cand_id")), ",").alias("candidate_entity_ids"))
@@ -102,6 +146,13 @@ def missed(truth: DataFrame, pairs: DataFrame, s1_keys: DataFrame, target_keys:
     return lost.join(shared, ["s1_id", "cand_id"], "left").na.fill("no_shared_key", ["reason"])
 
 
+def missed_overlaps(truth: DataFrame, pairs: DataFrame, norm: DataFrame) -> DataFrame:
+    """(s1_id, cand_id, shared_name_tokens, shared_addr_tokens) of true pairs without a candidate."""
+    side = lambda p, key: norm.select(F.col("entity_id").alias(key), tokens(F.col("name_norm")).alias(f"{p}_name"), tokens(F.col("addr_norm")).alias(f"{p}_addr"))
+    lost = truth.join(pairs, ["s1_id", "cand_id"], "left_anti").join(side("a", "s1_id"), "s1_id").join(side("b", "cand_id"), "cand_id")
+    return lost.select("s1_id", "cand_id", *(F.size(F.array_intersect(f"a_{c}", f"b_{c}")).cast("long").alias(f"shared_{c}_tokens") for c in ("name", "addr")))
+
+
 def stats(norm: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs in all, and their mean and greatest number per source-1 entity (none counts as 0)."""
     per = norm.filter("source = 1").select(F.col("entity_id").alias("s1_id")).join(pairs.groupBy("s1_id").count(), "s1_id", "left").na.fill(0)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLDS = [0.5, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 0.975, 0.99]
+# The grid on which the operating point is chosen.
+MACRO_THRESHOLDS = [0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.92, 0.94, 0.95, 0.96, 0.97, 0.975, 0.98]
 
 
 def f_half(p, r):
@@ -28,28 +30,56 @@ def candidate_recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return out.withColumn("recall", F.round(ratio(F.col("found"), F.col("true_pairs")), 9))
 
 
-def grid(spark, thresholds) -> DataFrame:
-    return spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-
-
 def sweep(scored: DataFrame, truth: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     """One row per threshold: counts within the candidates and rates, candidate-level and end to end.
 
-    Each pair falls in one step of the grid; the steps are summed from the top, so the pairs are scanned once.
+    Each pair falls in one step of the grid, so the pairs are scanned once, into a
+    row a step; the steps are summed from the top, and all of them give the totals.
     """
     spark = scored.sparkSession
-    rows = labelled(scored, truth)
     step = sum((F.col("prob") >= t).cast("int") for t in thresholds)
-    steps = rows.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("is_true").alias("t"))
-    ordered = spark.createDataFrame([(float(t), i + 1) for i, t in enumerate(sorted(thresholds))], "threshold double, at int")
-    per = ordered.join(steps, F.col("step") >= F.col("at"), "left").groupBy("threshold").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("predictions"), F.coalesce(F.sum("t"), F.lit(0)).alias("true_positives"))
-    out = per.withColumns({"_all": truth.agg(F.count("*")).scalar(), "_rec": rows.agg(F.coalesce(F.sum("is_true"), F.lit(0))).scalar(), "_n": rows.agg(F.count("*")).scalar()})
+    steps = labelled(scored, truth).groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.sum("is_true").alias("t"))
+    one = steps.agg(F.collect_list(F.struct("step", "n", "t")).alias("steps"))  # at most a row for each threshold and one more
+    grid = spark.createDataFrame([(float(t), i + 1) for i, t in enumerate(sorted(thresholds))], "threshold double, at int")
+    total = lambda field, from_at: F.aggregate("steps", F.lit(0).cast("long"), lambda a, s: a + F.when(s["step"] >= from_at, s[field]).otherwise(0))
+    per = grid.withColumn("steps", one.scalar()).select("threshold", total("n", F.col("at")).alias("predictions"), total("t", F.col("at")).alias("true_positives"), total("t", F.lit(0)).alias("_rec"), total("n", F.lit(0)).alias("_n"))
+    out = per.withColumn("_all", truth.agg(F.count("*")).scalar())
     tp, pred = F.col("true_positives"), F.col("predictions")
     out = out.withColumns({"false_positives": pred - tp, "false_negatives": F.col("_rec") - tp, "true_negatives": F.col("_n") - pred - F.col("_rec") + tp, "precision": ratio(tp, pred), "recall": ratio(tp, F.col("_rec")), "end_to_end_recall": ratio(tp, F.col("_all"))})
     out = out.withColumns({"f_half": f_half(F.col("precision"), F.col("recall")), "end_to_end_f_half": f_half(F.col("precision"), F.col("end_to_end_recall"))}).drop("_all", "_rec", "_n")
     return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "end_to_end_recall", "f_half", "end_to_end_f_half")})
 
 
+def _entity_f_half(t, p, tp):
+    """F0.5 of one entity: 1 where nothing is true or predicted, 0 where one side is empty or nothing hits."""
+    return F.when((t == 0) & (p == 0), 1.0).when((t == 0) | (tp == 0), 0.0).otherwise(f_half(tp / p, tp / t))
+
+
+def macro_sweep(s1: DataFrame, truth: DataFrame, ranked: DataFrame, thresholds=MACRO_THRESHOLDS) -> DataFrame:
+    """One row per threshold: predictions, hits, precision, end-to-end recall, macro and micro F0.5.
+
+    ``ranked`` are the decisions at the least threshold, capped per source
+    (``scoring.top_per_source``).  The best k above a threshold are those of the
+    best k at all that are above it, so one ranking serves the whole grid; an
+    entity has few of them, and every threshold is a column of one aggregation.
+    """
+    true = truth.groupBy("s1_id").agg(F.count("*").alias("t"))
+    kept = labelled(ranked.select("s1_id", "cand_id", "prob"), truth).groupBy("s1_id").agg(F.collect_list(F.struct("prob", "is_true")).alias("kept"))
+    rows = s1.select(F.col("entity_id").alias("s1_id")).join(true, "s1_id", "left").join(kept, "s1_id", "left").withColumn("t", F.coalesce("t", F.lit(0)))
+    kept = F.coalesce("kept", F.array().cast("array<struct<prob:double,is_true:int>>"))
+
+    def above(x: float):
+        p, tp = F.size(F.filter(kept, lambda k: k["prob"] >= x)), F.size(F.filter(kept, lambda k: (k["prob"] >= x) & (k["is_true"] == 1)))
+        return F.struct(F.lit(float(x)).alias("threshold"), p.alias("p"), tp.alias("tp"))
+
+    at = F.array(*map(above, thresholds))
+    each = rows.select("t", F.explode(at).alias("at")).select("t", "at.*")
+    per = each.groupBy("threshold").agg(F.sum("p").alias("predictions"), F.sum("tp").alias("true_positives"), F.count_if(F.col("p") == 0).alias("no_match_count"), F.avg(_entity_f_half(F.col("t"), F.col("p"), F.col("tp"))).alias("macro_f_half"), F.sum("t").alias("_all"))
+    precision, recall = ratio(F.col("true_positives"), F.col("predictions")), ratio(F.col("true_positives"), F.col("_all"))
+    out = per.withColumns({"false_positives": F.col("predictions") - F.col("true_positives"), "precision": precision, "recall": recall, "micro_f_half": f_half(precision, recall)}).drop("_all")
+    return out.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "macro_f_half", "micro_f_half")})
+
+
 def best_threshold(swept: DataFrame, by: str = "end_to_end_f_half") -> DataFrame:
     """The threshold of the greatest value, the least of ties."""
     return swept.orderBy(F.col(by).desc(), "threshold").limit(1).select("threshold", by)
@@ -60,7 +90,7 @@ def macro_f_half(s1: DataFrame, truth: DataFrame, predictions: DataFrame) -> Dat
     t = truth.groupBy("s1_id").agg(F.count("*").alias("t"))
     p = labelled(predictions.select("s1_id", "cand_id"), truth).groupBy("s1_id").agg(F.count("*").alias("p"), F.sum("is_true").alias("tp"))
     rows = s1.select(F.col("entity_id").alias("s1_id")).join(t, "s1_id", "left").join(p, "s1_id", "left").na.fill(0)
-    each = F.when((F.col("t") == 0) & (F.col("p") == 0), 1.0).when((F.col("t") == 0) | (F.col("tp") == 0), 0.0).otherwise(f_half(F.col("tp") / F.col("p"), F.col("tp") / F.col("t")))
+    each = _entity_f_half(F.col("t"), F.col("p"), F.col("tp"))
     return rows.agg(F.count("*").alias("entities"), F.count_if(F.col("p") == 0).alias("no_match_count"), F.round(F.avg(each), 9).alias("macro_f_half"))
 
 
@@ -73,12 +103,16 @@ def fn_breakdown(scored: DataFrame, pairs: DataFrame, truth: DataFrame, threshol
 
 
 def error_taxonomy(scored: DataFrame, pairs: DataFrame, truth: DataFrame, threshold: float) -> DataFrame:
-    """(s1_id, cand_id, error): A true but no candidate, B true with a low score, C false with a high one."""
-    a = truth.join(pairs, ["s1_id", "cand_id"], "left_anti").withColumn("error", F.lit("A"))
-    rows = labelled(scored, truth)
-    b = rows.filter((F.col("is_true") == 1) & (F.col("prob") < threshold)).select("s1_id", "cand_id", F.lit("B").alias("error"))
-    c = rows.filter((F.col("is_true") == 0) & (F.col("prob") >= threshold)).select("s1_id", "cand_id", F.lit("C").alias("error"))
-    return a.unionByName(b).unionByName(c)
+    """(s1_id, cand_id, error): A true but no candidate, B true with a low score, C false with a high one.
+
+    One full join of truth and scores decides B and C; A needs the candidates too, as a candidate may have no score.
+    """
+    true, some = truth.withColumn("true", F.lit(True)), scored.select("s1_id", "cand_id", "prob")
+    if pairs is not None:
+        some = pairs.join(some, ["s1_id", "cand_id"], "left")
+    rows = true.join(some.withColumn("cand", F.lit(True)), ["s1_id", "cand_id"], "full")
+    kind = F.when(F.col("cand").isNull(), "A").when(F.col("true") & (F.col("prob") < threshold), "B").when(F.col("true").isNull() & (F.col("prob") >= threshold), "C")
+    return rows.select("s1_id", "cand_id", kind.alias("error")).filter("error is not null")
 
 
 def quantiles(df: DataFrame, column: str) -> DataFrame:
@@ -96,6 +130,13 @@ def label_audit(training: DataFrame, splits: DataFrame) -> DataFrame:
     return one(pairs, "repeated_pairs").unionByName(one(labels, "both_labels")).unionByName(one(both, "both_splits"))
 
 
+def target_leakage(truth: DataFrame, splits: DataFrame) -> DataFrame:
+    """(targets, both, share): targets that truth links with entities, and those linked with entities of more than one split."""
+    per = truth.join(splits.withColumnRenamed("entity_id", "s1_id"), "s1_id").groupBy("cand_id").agg(F.min("split").alias("low"), F.max("split").alias("high"))
+    out = per.agg(F.count("*").alias("targets"), F.count_if(F.col("low") < F.col("high")).alias("both"))
+    return out.withColumn("share", F.round(ratio(F.col("both"), F.col("targets")), 9))
+
+
 def output_audit(result: DataFrame, s1: DataFrame) -> DataFrame:
     """Rows of a result against source-1 rows, and how many have matches."""
     out = result.agg(F.count("*").alias("rows"), F.countDistinct("source1_entity_id").alias("entities"), F.count_if(F.col("matched_entity_ids") != "").alias("with_matches"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kindred.functions import similarity as sim
 from kindred.functions.text import number_match, strip_legal
 
+# The features in the order that models and outputs have them.
 FEATURES_11 = ["name_ratio", "name_token_sort", "name_token_set", "clean_name_ratio", "address_ratio", "address_token_sort", "address_token_set", "number_match_score", "country_match", "name_length_diff", "address_length_diff"]
 FEATURES_9 = [f for f in FEATURES_11 if f not in ("clean_name_ratio", "number_match_score")]
 #: A fixed logistic scorer, expressible in SQL: weight by feature, and the bias.
@@ -29,14 +30,18 @@ def features(pairs: DataFrame, columns=FEATURES_11) -> DataFrame:
     n, m, a, b = (F.col(c) for c in ("s1_name", "c_name", "s1_addr", "c_addr"))
     blank_ok = "clean_name_ratio" not in columns  # the older set lets blank countries match
     same = (F.col("s1_country") == F.col("c_country")) & (F.lit(blank_ok) | (F.col("s1_country") != ""))
+    alike = {
+        "name_ratio": ("ratio", n, m), "name_token_sort": ("token_sort", n, m), "name_token_set": ("token_set", n, m),
+        "clean_name_ratio": ("ratio", strip_legal(n), strip_legal(m)),
+        "address_ratio": ("ratio", a, b), "address_token_sort": ("token_sort", a, b), "address_token_set": ("token_set", a, b),
+    }
     made = {
-        "name_ratio": sim.ratio(n, m), "name_token_sort": sim.token_sort_ratio(n, m), "name_token_set": sim.token_set_ratio(n, m),
-        "clean_name_ratio": sim.ratio(strip_legal(n), strip_legal(m)),
-        "address_ratio": sim.ratio(a, b), "address_token_sort": sim.token_sort_ratio(a, b), "address_token_set": sim.token_set_ratio(a, b),
         "number_match_score": number_match(a, b), "country_match": F.when(same, 1).otherwise(0),
         "name_length_diff": F.abs(F.length(n) - F.length(m)), "address_length_diff": F.abs(F.length(a) - F.length(b)),
     }
-    return pairs.withColumns({c: made[c] for c in columns})
+    wanted = {c: alike[c] for c in columns if c in alike}
+    out = pairs.withColumn("_alike", sim.similarities(wanted)) if wanted else pairs
+    return out.withColumns({c: F.col("_alike")[c] if c in wanted else made[c] for c in columns}).drop("_alike")
 
 
 def score_logit(df: DataFrame, weights=LOGIT, bias: float = BIAS) -> DataFrame:

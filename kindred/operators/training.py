@@ -9,19 +9,46 @@ from pyspark.sql import functions as F
 from .scoring import FEATURES_11
 
 SEED = "42"
+#: Hex digits of the md5 that a histogram of hashes has buckets for.
+BUCKET_DIGITS = 4
 
 
-def split(s1: DataFrame, validation: int, seed: str = SEED) -> DataFrame:
-    """(entity_id, split): the ``validation`` ids of least md5 are held out; a limit finds the boundary, no
-    global window ranks the table."""
-    order = F.md5(F.concat("entity_id", F.lit(seed)))
-    held = s1.select("entity_id").orderBy(order, "entity_id").limit(validation).withColumn("split", F.lit("validation"))
-    return s1.select("entity_id").join(held, "entity_id", "left").na.fill("train", ["split"])
+def hashed_limit(df: DataFrame, n: int, *ids: str, seed: str = SEED) -> DataFrame:
+    """A reproducible sample of n rows: those of least md5 over their ids; ``df`` itself if it has no more.
 
+    No rows are sorted together and none go through one task: a histogram of
+    the hash finds the bucket in which the n-th row lies (one job, one row to
+    the driver), those of lesser buckets are taken by a comparison, and only
+    that bucket is ranked.
+    """
+    hashed = df.withColumn("_md5", F.md5(F.concat(*ids, F.lit(seed)))).withColumn("_bucket", F.conv(F.substring("_md5", 1, BUCKET_DIGITS), 16, 10).cast("long"))
+    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("size"))  # 16**4 rows at most
+    upto = sizes.select("_bucket", "size", (F.sum("size").over(W.orderBy("_bucket")) - F.col("size")).alias("before"))
+    found = upto.agg(F.sum("size").alias("all"), F.max(F.when(F.col("before") < n, F.struct("_bucket", "before"))).alias("edge")).first()
+    if (found["all"] or 0) <= n:
+        return df
+    if found["edge"] is None:
+        return df.limit(0)
+    bucket, before = found["edge"]
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy("_md5", *ids))
+    last = hashed.filter(F.col("_bucket") == bucket).withColumn("_place", place).filter(F.col("_place") <= n - before)
+    return hashed.filter(F.col("_bucket") < bucket).select(df.columns).unionByName(last.select(df.columns))
 
-def hashed_limit(df: DataFrame, n: int, *ids: str, seed: str = SEED) -> DataFrame:
-    """A reproducible sample of n rows: those of least md5 over their ids."""
-    return df.orderBy(F.md5(F.concat(*ids, F.lit(seed))), *ids).limit(n)
+
+def hash48(*ids: str, seed: str = SEED):
+    """48 bits of the md5 of the ids: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat(*ids, F.lit(seed))), 1, 12), 16, 10).cast("long")
+
+
+def hashed_share(df: DataFrame, n: int, column: str) -> DataFrame:
+    """About n rows of ``df`` by hash of a column, all of them where it has no more: one count and a filter."""
+    return df.filter(hash48(column) < F.lit(float(1 << 48)) * n / df.agg(F.count("*")).scalar())
+
+
+def split(s1: DataFrame, validation: int, seed: str = SEED) -> DataFrame:
+    """(entity_id, split): the ``validation`` ids of least md5 are held out (see ``hashed_limit``)."""
+    held = hashed_limit(s1.select("entity_id"), validation, "entity_id", seed=seed).withColumn("split", F.lit("validation"))
+    return s1.select("entity_id").join(held, "entity_id", "left").na.fill("train", ["split"])
 
 
 def _sides(norm: DataFrame):
@@ -39,7 +66,9 @@ NEGATIVES = {
 }
 
 
-#: Most mined negatives of each kind, as the reference has them.
+#: About how many entities and targets each kind is mined from, drawn by hash before they are joined.
+SIDES = {"name_confusion": (50_000, 300_000), "prefix_confusion": (50_000, 300_000), "token_confusion": (40_000, 250_000), "same_addr_confusion": (50_000, 300_000)}
+#: Most mined negatives of each kind.
 LIMITS = {"name_confusion": 35_000, "prefix_confusion": 35_000, "token_confusion": 30_000, "same_addr_confusion": 25_000}
 
 
@@ -49,8 +78,13 @@ def positives(norm: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def negatives(norm: DataFrame, truth: DataFrame, kind: str, most: int | None = None) -> DataFrame:
-    """Pairs that look alike in one respect and are no true pair; ``most`` keeps a reproducible sample."""
-    a, b = _sides(norm)
+    """Pairs that look alike in one respect and are no true pair; ``most`` keeps a reproducible sample.
+
+    Both sides are drawn before the join (``SIDES``), so a frequent name, prefix
+    or token meets a bounded number of rows, whatever the tables' sizes.
+    """
+    (a, b), (own, targets) = _sides(norm), SIDES[kind]
+    a, b = hashed_share(a, own, "s1_id"), hashed_share(b, targets, "cand_id")
     column, condition = NEGATIVES[kind]
     pairs = a.join(b, (F.col("s1_country") == F.col("c_country")) & (F.col(f"s1_{column}") == F.col(f"c_{column}"))).filter(condition)
     pairs = pairs.join(truth, ["s1_id", "cand_id"], "left_anti").withColumns({"label": F.lit(0), "pair_type": F.lit(kind)}).select(COLUMNS)
@@ -65,11 +99,21 @@ def training_set(norm: DataFrame, truth: DataFrame, most: int | dict[str, int] |
     return out
 
 
+def country_confusion(norm: DataFrame, truth: DataFrame, cap: int = 250) -> DataFrame:
+    """(s1_id, cand_id): equal names (5 characters or more, at most ``cap`` targets) in different countries, no true pair."""
+    a, b = _sides(norm)
+    few = b.groupBy("c_name").agg(F.count("*").alias("n")).filter(F.col("n") <= cap).select("c_name")
+    pairs = a.join(b.join(few, "c_name", "left_semi"), (F.col("s1_name") == F.col("c_name")) & (F.col("s1_country") != F.col("c_country"))).filter("length(s1_name) >= 5")
+    return pairs.join(truth, ["s1_id", "cand_id"], "left_anti").select("s1_id", "cand_id")
+
+
 def idf_shortlist(norm: DataFrame, max_df: int = 5000, top: int = 300) -> DataFrame:
     """(s1_id, cand_id, weight): name-token overlap weighted 1/log2(df + 2), frequent tokens left out."""
     rows = norm.select("entity_id", "source", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("token")).filter("length(token) >= 2")
     df = rows.filter("source <> 1").groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
-    a = rows.filter("source = 1").select(F.col("entity_id").alias("s1_id"), "token").join(df, "token")
+    # a frequent token of either side is left out, so a token's pairs are bounded by the square of max_df
+    own = rows.filter("source = 1").groupBy("token").agg(F.count("*").alias("own")).filter(F.col("own") <= max_df).select("token")
+    a = rows.filter("source = 1").select(F.col("entity_id").alias("s1_id"), "token").join(df.join(own, "token", "left_semi"), "token")
     b = rows.filter("source <> 1").select(F.col("entity_id").alias("cand_id"), "token")
     scored = a.join(b, "token").groupBy("s1_id", "cand_id").agg(F.round(F.sum(1 / F.log2(F.col("df") + 2)), 6).alias("weight"))
     order = W.partitionBy("s1_id").orderBy(F.col("weight").desc(), "cand_id")
@@ -92,17 +136,38 @@ def random_negatives(norm: DataFrame, truth: DataFrame, per_entity: int = 2, buc
     """
     target = norm.filter("source <> 1").select(F.col("entity_id").alias("cand_id"))
     n = buckets or max(1, target.count() // 32)
-    place = lambda c: F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(c), F.lit(seed))), 1, 12), 16, 10).cast("long"), F.lit(n))
+    place = lambda c: F.pmod(hash48(c, seed=seed), F.lit(n))
     a = norm.filter("source = 1").select(F.col("entity_id").alias("s1_id")).withColumn("b", place("s1_id"))
     pairs = a.join(target.withColumn("b", place("cand_id")), "b").join(truth, ["s1_id", "cand_id"], "left_anti")
     order = W.partitionBy("s1_id").orderBy(F.md5(F.concat("s1_id", "cand_id")), "cand_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_entity).select("s1_id", "cand_id", "rank")
 
 
-def ratio_sample(training: DataFrame, ratio: int) -> DataFrame:
+def ratio_sample(training: DataFrame, ratio: int, positives: int | None = None) -> DataFrame:
     """All positives and ``ratio`` times as many negatives, those of least md5."""
+    true = training.filter("label = 1")
+    n = true.count() if positives is None else positives
+    return true.unionByName(hashed_limit(training.filter("label = 0"), ratio * n, "s1_id", "cand_id", "pair_type"))
+
+
+def ratio_sweep(training: DataFrame, ratios=(1, 2, 3, 4, 5)) -> DataFrame:
+    """(ratio, label, pair_type, n) of the samples at each ratio of negatives to positives.
+
+    The negatives are ranked by hash once: a bucket's rows among themselves,
+    after the rows of all lesser buckets, of which there are 16**4 at most.
+    """
+    ids = ["s1_id", "cand_id", "pair_type"]
     n = training.filter("label = 1").count()
-    return training.filter("label = 1").unionByName(hashed_limit(training.filter("label = 0"), ratio * n, "s1_id", "cand_id", "pair_type"))
+    hashed = training.filter("label = 0").select(*ids).withColumn("_md5", F.md5(F.concat(*ids, F.lit(SEED)))).withColumn("_bucket", F.conv(F.substring("_md5", 1, BUCKET_DIGITS), 16, 10).cast("long"))
+    sizes = hashed.groupBy("_bucket").agg(F.count("*").alias("size"))
+    before = sizes.select("_bucket", (F.sum("size").over(W.orderBy("_bucket")) - F.col("size")).alias("_before"))
+    place = F.row_number().over(W.partitionBy("_bucket").orderBy("_md5", *ids))
+    ranked = hashed.withColumn("_place", place).join(F.broadcast(before), "_bucket").withColumn("rank", F.col("_place") + F.col("_before"))
+    each = F.array(*(F.struct(F.lit(r).alias("ratio"), (F.col("rank") <= r * n).alias("taken")) for r in ratios))
+    taken = ranked.select("pair_type", F.explode(F.filter(each, lambda x: x["taken"])).alias("x"))
+    false = taken.groupBy(F.col("x.ratio").alias("ratio"), "pair_type").agg(F.count("*").alias("n")).select("ratio", F.lit(0).alias("label"), "pair_type", "n")
+    true = training.filter("label = 1").groupBy("pair_type").agg(F.count("*").alias("n")).select(F.explode(F.array(*map(F.lit, ratios))).alias("ratio"), F.lit(1).alias("label"), "pair_type", "n")
+    return false.unionByName(true)
 
 
 def balanced(training: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from kindred.functions.text import LEGAL_PATTERN
 from kindred.operators.scoring import BIAS, LOGIT
+from kindred.operators.training import LIMITS, SIDES
+from kindred.sources.fixture import TRUE_PERCENT
 
 FOUR = "('exact', 'prefix6', 'first_token', 'postal')"
 
@@ -45,8 +47,13 @@ allowed AS (SELECT pass, country, key, count(*) AS n FROM tkeys GROUP BY ALL HAV
 by_pass AS (SELECT DISTINCT a.pass, a.entity_id AS s1_id, b.entity_id AS cand_id FROM keys a JOIN allowed k USING (pass, country, key) JOIN tkeys b USING (pass, country, key) WHERE a.source = 1),
 cand AS (SELECT DISTINCT s1_id, cand_id FROM by_pass WHERE pass IN {FOUR})"""
 
-_TRUTH = f"""parts AS (SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS id, 1 + doc_id % 3 AS source, list_slice(string_split({_n('text')}, ' '), 13, 20) AS part FROM documents),
-truth AS (SELECT a.id AS s1_id, b.id AS cand_id FROM parts a JOIN parts b USING (part) WHERE a.source = 1 AND b.source <> 1 AND len(part) = 8)"""
+_TRUTH = f"""whole AS MATERIALIZED (SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS id, 1 + doc_id % 3 AS source, {_tokens(_n('text'))} AS tokens FROM documents),
+words AS MATERIALIZED (SELECT id, source, len(tokens) AS n, unnest(tokens) AS token FROM whole),
+firsts AS MATERIALIZED (SELECT id, source, n, token FROM (SELECT w.*, row_number() OVER (PARTITION BY id ORDER BY df, token) AS place FROM words w JOIN (SELECT token, count(*) AS df FROM words GROUP BY token) USING (token))
+  WHERE place <= n - ceil(n * {TRUE_PERCENT} / 100.0) + 1),
+nears AS MATERIALIZED (SELECT DISTINCT a.id AS s1_id, b.id AS cand_id, a.n AS an, b.n AS bn FROM firsts a JOIN firsts b USING (token) WHERE a.source = 1 AND b.source <> 1 AND 100 * least(a.n, b.n) >= {TRUE_PERCENT} * greatest(a.n, b.n)),
+truth AS MATERIALIZED (SELECT s1_id, cand_id FROM nears JOIN whole a ON a.id = s1_id JOIN whole b ON b.id = cand_id
+  WHERE 100 * len(list_intersect(a.tokens, b.tokens)) >= {TRUE_PERCENT} * (an + bn - len(list_intersect(a.tokens, b.tokens))))"""
 
 
 def _lcs(a, b):
@@ -107,8 +114,17 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY s1_id, target ORDER BY p6 D
 _PAIR = "s.entity_id AS s1_id, c.entity_id AS cand_id, s.name_norm AS s1_name, s.addr_norm AS s1_addr, s.country_norm AS s1_country, c.name_norm AS c_name, c.addr_norm AS c_addr, c.country_norm AS c_country"
 
 
+def hash48(x):
+    return f"CAST(('0x' || substr(md5({x} || '42'), 1, 12)) AS BIGINT)"
+
+
+def _drawn(side, n):
+    return f"(SELECT * FROM norm WHERE {side} AND {hash48('entity_id')} < {1 << 48}::DOUBLE * {n} / (SELECT count(*) FROM norm WHERE {side}))"
+
+
 def _negative(kind, condition):
-    return f"SELECT {_PAIR}, 0 AS label, '{kind}' AS pair_type FROM norm s JOIN norm c ON s.source = 1 AND c.source <> 1 AND s.country_norm = c.country_norm AND {condition} WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = s.entity_id AND t.cand_id = c.entity_id)"
+    own, targets = SIDES[kind]
+    return f"SELECT {_PAIR}, 0 AS label, '{kind}' AS pair_type FROM {_drawn('source = 1', own)} s JOIN {_drawn('source <> 1', targets)} c ON s.country_norm = c.country_norm AND {condition} WHERE NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = s.entity_id AND t.cand_id = c.entity_id)"
 
 
 _TRAINING = f"""training AS (
@@ -135,6 +151,12 @@ def train(select):
     return f"WITH {_ENT}, {_TRUTH}, {_TRAINING} {select}"
 
 
+def tenants(select):
+    """Over the entities in shared buildings of a few countries."""
+    moved = _ENT.replace("ent AS (", "ent0 AS (", 1).replace("norm0 AS (", "ent AS (SELECT * REPLACE ('Building ' || (CAST(split_part(entity_id, '-', 2) AS BIGINT) % 101) || ', North Wing' AS business_address, 'C' || (CAST(split_part(entity_id, '-', 2) AS BIGINT) % 5) AS country) FROM ent0),\nnorm0 AS (", 1)
+    return f"WITH {moved}, {_TRUTH}, {_TRAINING} {select}"
+
+
 PASS_GAIN = f"""SELECT pass, pairs, true_pairs, new_pairs, CAST(sum(new_pairs) OVER (ORDER BY place) AS BIGINT) AS cumulative_pairs, CAST(sum(new_true) OVER (ORDER BY place) AS BIGINT) AS cumulative_true FROM (
   SELECT place, pass, count(*) AS pairs, CAST(sum(hit) AS BIGINT) AS true_pairs, count(*) FILTER (WHERE place = first) AS new_pairs, CAST(coalesce(sum(hit) FILTER (WHERE place = first), 0) AS BIGINT) AS new_true FROM (
     SELECT *, min(place) OVER (PARTITION BY s1_id, cand_id) AS first FROM (
@@ -145,7 +167,7 @@ MISSED = f"""SELECT t.s1_id, t.cand_id, CASE WHEN EXISTS (SELECT 1 FROM keys a J
   FROM truth t ANTI JOIN cand USING (s1_id, cand_id)"""
 
 IDF = """, tok AS (SELECT entity_id, source, unnest(list_distinct(string_split(name_norm, ' '))) AS token FROM norm), tk AS (SELECT * FROM tok WHERE length(token) >= 2),
-  df AS (SELECT token, count(*) AS df FROM tk WHERE source <> 1 GROUP BY token HAVING count(*) <= 5000),
+  df AS (SELECT token, count(*) FILTER (WHERE source <> 1) AS df FROM tk GROUP BY token HAVING count(*) FILTER (WHERE source <> 1) BETWEEN 1 AND 5000 AND count(*) FILTER (WHERE source = 1) <= 5000),
   w AS (SELECT a.entity_id AS s1_id, b.entity_id AS cand_id, round(sum(1 / log2(df + 2)), 6) AS weight FROM tk a JOIN df USING (token) JOIN tk b USING (token) WHERE a.source = 1 AND b.source <> 1 GROUP BY ALL)
   SELECT s1_id, cand_id, weight FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY weight DESC, cand_id) AS rn FROM w) WHERE rn <= 300"""
 
@@ -170,3 +192,55 @@ MACRO = f"""SELECT count(*) AS entities, count(*) FILTER (WHERE p = 0) AS no_mat
   ELSE {_F.format(p='(CAST(tp AS DOUBLE) / p)', r='(CAST(tp AS DOUBLE) / t)')} END), 9) AS macro_f_half FROM (
   SELECT e.entity_id, (SELECT count(*) FROM truth t WHERE t.s1_id = e.entity_id) AS t, count(m.cand_id) AS p, count(h.cand_id) AS tp
   FROM ent e LEFT JOIN (SELECT * FROM clear WHERE prob >= 0.9) m ON m.s1_id = e.entity_id LEFT JOIN truth h ON h.s1_id = m.s1_id AND h.cand_id = m.cand_id WHERE e.source = 1 GROUP BY e.entity_id)"""
+
+
+#: Negatives within the limit of each kind, and all positives.
+TRAINING_SET = "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY pair_type ORDER BY md5(s1_id || cand_id || '42'), s1_id, cand_id) AS rn FROM training) WHERE label = 1 OR rn <= CASE pair_type " + " ".join(f"WHEN '{k}' THEN {n}" for k, n in LIMITS.items()) + " END"
+
+RATIO_SWEEP = """, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(s1_id || cand_id || pair_type || '42'), s1_id, cand_id, pair_type) AS rn FROM training)
+  SELECT CAST(k AS INT) AS ratio, label, pair_type, count(*) AS n FROM r, (VALUES (1), (2), (3), (4), (5)) v(k) WHERE label = 1 OR rn <= k * (SELECT count(*) FROM training WHERE label = 1) GROUP BY ALL"""
+
+RANDOM_NEGATIVES = f""", n AS (SELECT greatest(1, count(*) // 32) AS n FROM ent WHERE source <> 1),
+  a AS (SELECT entity_id AS s1_id, {hash48('entity_id')} % n.n AS b FROM ent, n WHERE source = 1), c AS (SELECT entity_id AS cand_id, {hash48('entity_id')} % n.n AS b FROM ent, n WHERE source <> 1),
+  p AS (SELECT s1_id, cand_id FROM a JOIN c USING (b) ANTI JOIN truth USING (s1_id, cand_id))
+  SELECT s1_id, cand_id, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY md5(s1_id || cand_id), cand_id) AS rn FROM p) WHERE rn <= 2"""
+
+COUNTRY = """, few AS (SELECT name_norm FROM norm WHERE source <> 1 GROUP BY 1 HAVING count(*) <= 250)
+  SELECT s.entity_id AS s1_id, c.entity_id AS cand_id FROM norm s JOIN norm c ON s.source = 1 AND c.source <> 1 AND s.name_norm = c.name_norm AND s.country_norm <> c.country_norm
+  WHERE length(s.name_norm) >= 5 AND c.name_norm IN (SELECT name_norm FROM few) AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.s1_id = s.entity_id AND t.cand_id = c.entity_id)"""
+
+PER_SOURCE_CAPS = f""", tk AS (SELECT *, 'S' || source AS target FROM tkeys WHERE pass IN {FOUR}),
+  fit AS (SELECT pass, target, country, key FROM tk GROUP BY ALL HAVING count(*) <= 250)
+  SELECT DISTINCT t.pass, t.target, k.entity_id AS s1_id, t.entity_id AS cand_id FROM keys k JOIN tk t USING (pass, country, key) JOIN fit USING (pass, target, country, key) WHERE k.source = 1"""
+
+MISSED_OVERLAPS = f"""SELECT t.s1_id, t.cand_id, CAST(len(list_intersect({_tokens('a.name_norm')}, {_tokens('b.name_norm')})) AS BIGINT) AS shared_name_tokens, CAST(len(list_intersect({_tokens('a.addr_norm')}, {_tokens('b.addr_norm')})) AS BIGINT) AS shared_addr_tokens
+  FROM truth t ANTI JOIN cand USING (s1_id, cand_id) JOIN norm a ON a.entity_id = t.s1_id JOIN norm b ON b.entity_id = t.cand_id"""
+
+LEAKAGE = """, split AS (SELECT entity_id AS s1_id, row_number() OVER (ORDER BY md5(entity_id || '42'), entity_id) <= 100 AS held FROM ent WHERE source = 1),
+  per AS (SELECT cand_id, bool_or(held) AND bool_or(NOT held) AS mixed FROM truth JOIN split USING (s1_id) GROUP BY cand_id)
+  SELECT count(*) AS targets, count(*) FILTER (WHERE mixed) AS "both", round(CASE WHEN count(*) > 0 THEN CAST(count(*) FILTER (WHERE mixed) AS DOUBLE) / count(*) ELSE 0.0 END, 9) AS share FROM per"""
+
+
+def selective(select, most, per_entity):
+    """Keys without generic tokens, capped blocks, and a cap of candidates from each token pass."""
+    six, four = "('exact', 'prefix6', 'first_token', 'postal', 'house_addr_token', 'name_addr_token', 'rare_name_token', 'rare_addr_token')", "('house_addr_token', 'name_addr_token', 'rare_name_token', 'rare_addr_token')"
+    return keys(f""", generic AS (SELECT country, key AS token FROM (SELECT DISTINCT entity_id, country, key FROM tkeys WHERE pass IN ('rare_name_token', 'rare_addr_token')) GROUP BY ALL HAVING count(*) > {most}),
+  bad AS (SELECT DISTINCT pass, country, key FROM (SELECT pass, country, key, unnest(CASE WHEN pass = 'house_addr_token' THEN [split_part(key, '|', 2)] ELSE string_split(key, '|') END) AS token FROM keys WHERE pass IN {four}) SEMI JOIN generic USING (country, token)),
+  good AS (SELECT * FROM keys WHERE pass IN {six} AND (pass, country, key) NOT IN (SELECT (pass, country, key) FROM bad)),
+  fit AS (SELECT pass, country, key, count(*) AS n FROM good WHERE source <> 1 GROUP BY ALL HAVING count(*) <= 250),
+  met AS (SELECT a.pass, a.entity_id AS s1_id, b.entity_id AS cand_id, min(n) AS n FROM good a JOIN fit USING (pass, country, key) JOIN good b USING (pass, country, key) WHERE a.source = 1 AND b.source <> 1 GROUP BY ALL),
+  chosen AS (SELECT pass, s1_id, cand_id FROM (SELECT *, row_number() OVER (PARTITION BY pass, s1_id ORDER BY n, cand_id) AS rn FROM met) WHERE pass NOT IN {four} OR rn <= {per_entity})
+  {select}""")
+
+
+def macro_sweep(thresholds):
+    grid = ", ".join(f"({t}::DOUBLE)" for t in thresholds)
+    each = f"CASE WHEN t = 0 AND p = 0 THEN 1.0::DOUBLE WHEN t = 0 OR tp = 0 THEN 0.0::DOUBLE ELSE {_F.format(p='(CAST(tp AS DOUBLE) / p)', r='(CAST(tp AS DOUBLE) / t)')} END"
+    return f""", best AS (SELECT * FROM (SELECT s1_id, cand_id, p6, row_number() OVER (PARTITION BY s1_id, split_part(cand_id, '-', 1) ORDER BY p6 DESC, cand_id) AS rn FROM (SELECT *, round(prob, 6) AS p6 FROM clear)) WHERE rn <= 3),
+  tr AS (SELECT s1_id, count(*) AS t FROM truth GROUP BY s1_id),
+  cells AS (SELECT g.threshold, e.entity_id, coalesce(any_value(tr.t), 0) AS t, count(b.cand_id) AS p, count(h.cand_id) AS tp
+    FROM (SELECT entity_id FROM ent WHERE source = 1) e CROSS JOIN (VALUES {grid}) g(threshold) LEFT JOIN tr ON tr.s1_id = e.entity_id
+    LEFT JOIN best b ON b.s1_id = e.entity_id AND b.p6 >= g.threshold LEFT JOIN truth h ON h.s1_id = b.s1_id AND h.cand_id = b.cand_id GROUP BY g.threshold, e.entity_id),
+  per AS (SELECT threshold, CAST(sum(p) AS BIGINT) AS predictions, CAST(sum(tp) AS BIGINT) AS true_positives, count(*) FILTER (WHERE p = 0) AS no_match_count, avg({each}) AS macro, CAST(sum(t) AS BIGINT) AS t FROM cells GROUP BY threshold),
+  rates AS (SELECT *, CASE WHEN predictions > 0 THEN CAST(true_positives AS DOUBLE) / predictions ELSE 0.0::DOUBLE END AS p, CASE WHEN t > 0 THEN CAST(true_positives AS DOUBLE) / t ELSE 0.0::DOUBLE END AS r FROM per),
+  swept AS (SELECT threshold, predictions, true_positives, no_match_count, predictions - true_positives AS false_positives, round(p, 9) AS "precision", round(r, 9) AS recall, round(macro, 9) AS macro_f_half, round({_F.format(p='p', r='r')}, 9) AS micro_f_half FROM rates)"""

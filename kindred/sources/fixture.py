@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kindred.functions.text import normalize
+from kindred.functions.text import normalize, tokens
+from kindred.sources import tables
 
 
 def _words(first: int, n: int):
@@ -25,10 +27,45 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(s1_id, cand_id): documents of source 1 and of the others whose normalised words 13-20 agree, 8 of them."""
+def tenants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities moved into shared buildings (doc_id modulo 101) of a few countries (modulo 5), by their own
+    names: for operators on equal addresses, or on equal names in other countries."""
+    number = F.split_part("entity_id", F.lit("-"), F.lit(2)).cast("long")
+    return entities(spark, sf_dir).withColumns({"business_address": F.concat(F.lit("Building "), (number % 101).cast("string"), F.lit(", North Wing")), "country": F.concat(F.lit("C"), (number % 5).cast("string"))})
+
+
+#: Two documents are one entity from this share of common tokens on, in per cent of all tokens of either.
+TRUE_PERCENT = 90
+
+
+def truth(spark: SparkSession, sf_dir: str, percent: int = TRUE_PERCENT) -> DataFrame:
+    """``alike`` of the documents of a folder, made once a session: every evaluation joins with it, some many times."""
+    key = spark.sparkContext.applicationId, sf_dir, percent
+    if key not in _made:
+        _made[key] = tables.materialised(alike(spark, sf_dir, percent), "truth")
+    return _made[key].select("*")
+
+
+_made: dict[tuple[str, str, int], DataFrame] = {}
+
+
+def alike(spark: SparkSession, sf_dir: str, percent: int) -> DataFrame:
+    """(s1_id, cand_id): documents of source 1 and of the others whose whole normalised texts are alike.
+
+    Alike is a Jaccard similarity of token sets of ``percent`` or more; texts
+    without tokens are like nothing.  Rare tokens come first: two sets that
+    are alike share one of the first n - ceil(percent * n) + 1 of either, so
+    only documents that share such a token are compared.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = (1 + F.col("doc_id") % 3).cast("int")
-    part = docs.select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), source.alias("source"), F.slice(F.split(normalize(F.col("text")), " "), 13, 8).alias("part")).filter(F.size("part") == 8)
-    one, rest = part.filter("source = 1").select(F.col("id").alias("s1_id"), "part"), part.filter("source <> 1").select(F.col("id").alias("cand_id"), "part")
-    return one.join(rest, "part").select("s1_id", "cand_id")
+    sets = docs.select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), source.alias("source"), tokens(normalize(F.col("text"))).alias("tokens"))
+    rows = sets.select("id", "source", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    ranked = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
+    first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "source", "n", "token")
+    side = lambda d, key: d.select(F.col("id").alias(key), F.col("n").alias(f"{key}_n"), "token")
+    near = side(first.filter("source = 1"), "s1_id").join(side(first.filter("source <> 1"), "cand_id"), "token")
+    near = near.filter(100 * F.least("s1_id_n", "cand_id_n") >= percent * F.greatest("s1_id_n", "cand_id_n")).select("s1_id", "cand_id").distinct()
+    both = near.join(sets.select(F.col("id").alias("s1_id"), F.col("tokens").alias("a")), "s1_id").join(sets.select(F.col("id").alias("cand_id"), F.col("tokens").alias("b")), "cand_id")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.filter(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("s1_id", "cand_id")

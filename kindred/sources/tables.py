@@ -3,18 +3,66 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+_own: list[str] = []
 ENTITY = "entity_id string, business_name string, business_address string, country string"
 TRUTH = "source1_entity_id string, matched_entity_ids string"
 CANDIDATES = "source1_entity_id string, candidate_entity_ids string"
+MATCHES = "source1_entity_id string, matched_entity_ids string"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="kindred-"))
+    return _own[0]
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once, and kept if executors are lost."""
+    path = f"{shared_dir(df.sparkSession)}/kindred/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _header(spark: SparkSession, path: str) -> list[str]:
+    line = spark.read.text(path).first()
+    return line[0].lstrip("\ufeff").split("\t") if line else []
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A header TSV with an explicit all-string schema; doubled quotes inside quoted fields are one quote."""
-    return spark.read.csv(path, sep="\t", header=True, schema=schema, quote='"', escape='"')
+    """The columns of ``schema`` of a header TSV, all strings, found by name; doubled quotes inside quoted fields are one quote.
+
+    The header line alone is read first; nothing is inferred.  Other columns are not parsed into the result.
+    """
+    wanted = [f.split()[0] for f in schema.split(", ")]
+    there = _header(spark, path)
+    known = T.StructType([T.StructField(c, T.StringType()) for c in (there if set(wanted) <= set(there) else wanted)])
+    return spark.read.csv(path, sep="\t", header=True, schema=known, quote='"', escape='"').select(wanted)
+
+
+def require(spark: SparkSession, paths: list[str], schema: str, exact: bool = False) -> None:
+    """Raises unless every path is there and its header has the columns of ``schema`` (``exact``: these alone, in order)."""
+    wanted = [f.split()[0] for f in schema.split(", ")]
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+            raise FileNotFoundError(path)
+        found = _header(spark, path)
+        if found != wanted if exact else not set(wanted) <= set(found):
+            raise ValueError(f"{path} has the columns {found}, not {wanted}")
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
@@ -48,8 +96,11 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 
 def render_report(rows: DataFrame, most: int = 1000) -> str:
-    """A small metrics table as fixed-width text."""
-    return rows.limit(most).toPandas().to_string(index=False)
+    """A small metrics table as fixed-width text; a table of more than ``most`` rows is refused, not cut."""
+    found = rows.limit(most + 1).toPandas()
+    if len(found) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return found.to_string(index=False)
 
 
 def save_model(model, path: str, features: list[str], threshold: float) -> None:

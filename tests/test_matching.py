@@ -1,10 +1,15 @@
+import dataclasses
 import glob
+import json
 
 import pytest
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from kindred import streaming
 from kindred.functions import text
-from kindred.operators import blocking, evaluate, scoring
+from kindred.operators import blocking, evaluate, scoring, training
+from kindred.plans import catalog, matcher
 from kindred.sources import tables
 from kindred.sources.config import Settings
 
@@ -90,10 +95,165 @@ def test_tsv_bytes(spark, tmp_path):
     assert {r[1] for r in tables.unnest(wide, "candidate_entity_ids", "c").collect()} == {"a", "b"}
 
 
-def test_scores_are_fitted_on_the_whole_set_with_the_defaults(spark, monkeypatch):
-    from kindred.operators import training
-    from kindred.plans import catalog
+def test_readers(spark, tmp_path):
+    src = tmp_path / "in.tsv"
+    src.write_text("country\textra\tbusiness_name\tentity_id\tbusiness_address\nde\tx\tAcme\tS1-1\t\n")
+    assert tuple(tables.read_entities(spark, str(src)).first()) == ("S1-1", "Acme", None, "de")  # columns are found by name
+    lines = tmp_path / "lines.tsv"
+    lines.write_text("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-2\n\n   \nS1-2\t\n")
+    assert [tuple(r) for r in tables.read_lines(spark, str(lines)).collect()] == [("S1-1", "S2-1,S3-2"), ("S1-2", "")]
+    truth = tables.unnest(tables.read_tsv(spark, str(lines), tables.TRUTH), "matched_entity_ids", "target")
+    assert {tuple(r) for r in truth.collect()} == {("S1-1", "S2-1"), ("S1-1", "S3-2")}
+    ids = spark.createDataFrame([("S1-2",), ("S1-2",), (None,)], "source1_entity_id string")
+    assert [r[0] for r in tables.only_ids(tables.read_tsv(spark, str(lines), tables.TRUTH), ids, "source1_entity_id").collect()] == ["S1-2"]
+
+
+def test_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(0.5, 3), (0.6, 2)], "threshold double, n int")
+    tables.write_report(rows, str(tmp_path / "r"))
+    assert [json.loads(x) for x in open(glob.glob(str(tmp_path / "r/part-*"))[0])] == [{"threshold": 0.5, "n": 3}, {"threshold": 0.6, "n": 2}]
+    assert tables.render_report(rows).split() == ["threshold", "n", "0.5", "3", "0.6", "2"]
+    with pytest.raises(ValueError, match="more than 1"):
+        tables.render_report(rows, 1)
+
+
+def tsv(path, rows):
+    path.write_text("entity_id\tbusiness_name\tbusiness_address\tcountry\n" + "".join("\t".join(r) + "\n" for r in rows))
+
+
+def inputs(folder):
+    tsv(folder / "source1.tsv", [("S1-2", "Oswal & Co", "2/209 6Th Street, Madurai 625001", "india"), ("S1-1", "Forge Works", "746 Lafayette Avenue, Buffalo", "us"), ("S1-3", "Nobody", "", "us")])
+    tsv(folder / "source2.tsv", [(f"S2-{i}", "Oswal Co", "2/209 6th street Madurai 625001", "India") for i in range(5)] + [("S2-9", "Oswal Motors", "99 Ring Road, Delhi 110001", "india")])
+    tsv(folder / "source3.tsv", [("S3-7", "Forge Works LLC", "746 Lafayette Ave Buffalo", "US"), ("S3-7", "Forge", "", "US")])
+
+
+def test_files_to_files(spark, tmp_path):
+    inputs(tmp_path)
+    settings = Settings(input_dir=str(tmp_path), output_dir=str(tmp_path / "out"), threshold=0.5)
+    out = matcher.run(spark, settings)
+    body = lambda name: [x for f in sorted(glob.glob(f"{out}/{name}/part-*")) for x in open(f).read().splitlines()]
+    rows = [x.split("\t") for x in body("matches") if not x.startswith("source1_entity_id")]
+    assert [r[0] for r in rows] == ["S1-1", "S1-2", "S1-3"]  # one row each, in order
+    found = dict(rows)
+    assert found["S1-3"] == "" and found["S1-2"] == "S2-0,S2-1,S2-2"  # three of a source, ties by id; the other name and address are not matched
+    assert body("matches-copy") and dict(x.split("\t") for x in body("matches-copy")) | {} == dict(x.split("\t") for x in body("matches"))
+    assert "S1-2\tS2-0,S2-1,S2-2,S2-3,S2-4,S2-9" in body("candidates")
+    report = json.loads(body("report")[0])
+    assert report["complete"] and report["rows"] == 3 and report["pairs"] >= 7 and report["pairs_per_second"] > 0
+    assert matcher.run(spark, settings) != out  # a run never writes over another
+    with pytest.raises(FileNotFoundError):
+        matcher.run(spark, dataclasses.replace(settings, input_dir=str(tmp_path / "none")))
+    (tmp_path / "source3.tsv").write_text("id\tname\nS3-1\tx\n")
+    with pytest.raises(ValueError, match="columns"):
+        matcher.run(spark, settings)
+
+
+def test_stream(spark, tmp_path):
+    inputs(tmp_path)
+    targets = blocking.normalized(tables.read_entities(spark, str(tmp_path / "source2.tsv")).withColumn("source", F.lit(2)).unionByName(tables.read_entities(spark, str(tmp_path / "source3.tsv")).withColumn("source", F.lit(3))))
+    (tmp_path / "stream").mkdir()
+    (tmp_path / "source1.tsv").rename(tmp_path / "stream" / "a.tsv")
+    settings = Settings(threshold=0.5)
+    for rows in (None, [("S1-8", "Oswal Co", "2/209 6th street Madurai 625001", "INDIA")]):
+        if rows:
+            tsv(tmp_path / "stream" / "b.tsv", rows)
+        stream = spark.readStream.schema(tables.ENTITY).option("sep", "\t").option("header", True).csv(str(tmp_path / "stream"))
+        streaming.match_stream(stream, targets, str(tmp_path / "found"), str(tmp_path / "checkpoint"), settings).awaitTermination()
+    found = {r[0]: r[1] for r in spark.read.parquet(str(tmp_path / "found")).collect()}
+    assert found["S1-2"] == found["S1-8"] == "S2-0,S2-1,S2-2" and set(found) == {"S1-1", "S1-2", "S1-3", "S1-8"}
+    assert len(glob.glob(str(tmp_path / "found/batch=*"))) == 2
+
+
+def test_selective_blocking(spark):
+    rows = [("S1-1", 1, "alpha works", "12 main street", "de")]
+    rows += [(f"S2-{i}", 2, "alpha works", f"{12 if i < 3 else 99} main street", "de") for i in range(8)] + [("S3-1", 3, "beta works", "12 main road", "de")]
+    norm = entities(spark, rows)
+    got = lambda *a, **k: {(r["pass"], r["cand_id"]) for r in blocking.selective_pairs(norm, *a, **k).collect()}
+    assert {c for p, c in got(("house_addr_token",), most=100)} == {"S2-0", "S2-1", "S2-2", "S3-1"}
+    assert got(("house_addr_token",), most=8) == {("house_addr_token", f"S2-{i}") for i in range(3)}  # "main" is in 9 targets, "street" in 8
+    assert got(("house_addr_token",), most=7) == set()  # both are generic
+    assert len(got(("name_addr_token",), most=100, per_entity=2)) == 2
+    # the least blocks first: S3-1 shares the rarer token
+    assert got(("rare_addr_token",), most=100, per_entity=2) == {("rare_addr_token", "S2-0"), ("rare_addr_token", "S2-1")}
+    assert len(got(("exact",), most=1, per_entity=1)) == 8  # the plain passes have no such limits
+
+
+def test_caps_by_source(spark):
+    rows = [("S1-1", 1, "acme", None, "de")] + [(f"S2-{i}", 2, "acme", "", "DE") for i in range(4)] + [("S3-1", 3, "acme", "", "DE")]
+    assert {tuple(r) for r in blocking.pairs_by_source(entities(spark, rows), ("exact",), 3).collect()} == {("exact", "S3", "S1-1", "S3-1")}
+    assert blocking.candidates(entities(spark, rows), ("exact",), 3).count() == 0  # together they are over the cap
+
+
+def test_country_confusion(spark):
+    rows = [("S1-1", 1, "alpha shop", "a", "de"), ("S2-1", 2, "alpha shop", "b", "fr"), ("S2-2", 2, "alpha shop", "c", "de"), ("S3-1", 3, "alpha shop", "a", "fr"), ("S1-2", 1, "abc", "", "de"), ("S2-3", 2, "abc", "", "fr")]
+    truth = spark.createDataFrame([("S1-1", "S3-1")], "s1_id string, cand_id string")
+    assert [tuple(r) for r in training.country_confusion(entities(spark, rows), truth).collect()] == [("S1-1", "S2-1")]
+    assert training.country_confusion(entities(spark, rows), truth, 2).count() == 0
+
+
+def test_same_address_negatives(spark):
+    rows = [("S1-1", 1, "alpha shop", "1 plaza road town", "de"), ("S2-1", 2, "beta store", "1 plaza road town", "de"), ("S2-2", 2, "alpha store", "1 plaza road town", "de"), ("S2-3", 2, "", "1 plaza road town", "de"), ("S3-1", 3, "gamma", "1 plaza road town", "de")]
+    truth = spark.createDataFrame([("S1-1", "S3-1")], "s1_id string, cand_id string")
+    got = training.negatives(entities(spark, rows), truth, "same_addr_confusion").collect()
+    assert [(r["cand_id"], r["label"], r["pair_type"]) for r in got] == [("S2-1", 0, "same_addr_confusion")]
+
+
+@pytest.mark.parametrize("n", [0, 1, 37, 500, 501])
+def test_hashed_limit(spark, n):
+    import hashlib
+
+    df = spark.range(500).select(F.concat(F.lit("e"), F.col("id").cast("string")).alias("k"))
+    order = sorted((r[0] for r in df.collect()), key=lambda k: (hashlib.md5((k + "42").encode()).hexdigest(), k))
+    assert sorted(r[0] for r in training.hashed_limit(df, n, "k").collect()) == sorted(order[:n])
+    assert df.count() == training.hashed_share(df, 500, "k").count() and 20 < training.hashed_share(df, 50, "k").count() < 90
+
+
+def test_macro_sweep(spark):
+    s1 = spark.createDataFrame([("S1-1",), ("S1-2",), ("S1-3",)], "entity_id string")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-2")], "s1_id string, cand_id string")
+    ranked = spark.createDataFrame([("S1-1", "S2-1", 0.9), ("S1-1", "S2-3", 0.7), ("S1-2", "S2-1", 0.65)], "s1_id string, cand_id string, prob double")
+    got = {r["threshold"]: r for r in evaluate.macro_sweep(s1, truth, ranked, [0.6, 0.7, 0.95]).collect()}
+    half = 1.25 * 0.5 * 0.5 / (0.25 * 0.5 + 0.5)
+    assert got[0.6]["macro_f_half"] == pytest.approx((half + 0 + 1) / 3, abs=1e-8) and got[0.6]["no_match_count"] == 1 and got[0.6]["false_positives"] == 2
+    assert got[0.7]["macro_f_half"] == pytest.approx((half + 1 + 1) / 3, abs=1e-8) and got[0.7]["precision"] == got[0.7]["recall"] == 0.5
+    assert got[0.95]["macro_f_half"] == pytest.approx(2 / 3, abs=1e-8) and got[0.95]["predictions"] == 0 and got[0.95]["micro_f_half"] == 0
+    assert evaluate.best_threshold(spark.createDataFrame([(0.7, 0.5), (0.6, 0.5), (0.8, 0.4)], "threshold double, macro_f_half double"), "macro_f_half").first()[0] == 0.6
+
+
+def test_guardrails():
+    before = {"recall": 0.7, "f_half": 0.9, "pairs": 100}
+    assert evaluate.guardrails(before, {"recall": 0.8, "f_half": 0.86, "pairs": 300})
+    assert not evaluate.guardrails(before, {"recall": 0.7, "f_half": 0.9, "pairs": 100})
+    assert not evaluate.guardrails(before, {"recall": 0.8, "f_half": 0.85, "pairs": 100})
+    assert not evaluate.guardrails(before, {"recall": 0.8, "f_half": 0.9, "pairs": 301})
+
+
+@pytest.mark.parametrize(("kind", "params"), [("gbt", {"maxIter": 5}), ("rf", {"numTrees": 20, "maxDepth": 6})])
+def test_models(spark, tmp_path, kind, params):
+    rows = [(i, float(i % 2), 0.9 - 0.5 * (i % 2 == 0) + 0.01 * (i % 7), i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label double, name_ratio double, country_match int")
+    columns = ["name_ratio", "country_match"]
+    model = training.fit(df, kind, columns, **params)
+    probs = {r["id"]: r["prob"] for r in training.predict(model, df).collect()}
+    assert all((probs[i] > 0.5) == bool(i % 2) for i in probs)
+    tables.save_model(model, str(tmp_path / "m"), columns, 0.7)
+    again, features, threshold = tables.load_model(spark, str(tmp_path / "m"))
+    assert (features, threshold) == (columns, 0.7)
+    assert {r["id"]: r["prob"] for r in training.predict(again, df).collect()} == probs
+
+
+def test_fitted_models_beat_the_fixed_scorer(spark):
+    norm, truth = catalog._norm(spark, "/root/testdata/sf0.1"), catalog._truth(spark, "/root/testdata/sf0.1")
+    rows = scoring.score_logit(scoring.features(training.training_set(norm, truth, 600))).withColumn("held", F.xxhash64("s1_id") % 3 == 0).persist()
+    auc = lambda df: BinaryClassificationEvaluator(rawPredictionCol="prob").evaluate(df)
+    fixed = auc(rows.filter("held"))
+    for kind, params in (("rf", {"numTrees": 10, "maxDepth": 7}), ("gbt", {"maxIter": 4})):
+        model = training.fit(rows.filter("not held").drop("prob"), kind, **params)
+        assert auc(training.predict(model, rows.filter("held").drop("prob"))) > fixed
+    rows.unpersist()
 
+
+def test_scores_are_fitted_on_the_whole_set_with_the_defaults(spark, monkeypatch):
     seen = []
 
     def stop(rows, kind, **params):

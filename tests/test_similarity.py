@@ -1,7 +1,22 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kindred.functions.similarity import lcs, ratio_of, token_set_of, token_sort_of
+from kindred.functions import similarity
+from kindred.functions.similarity import lcs, lcs_all, ratios, token_set_ratios, token_sort_ratios
+
+
+def ratio_of(a, b):
+    return ratios([a], [b])[0]
+
+
+def token_sort_of(a, b):
+    return token_sort_ratios([a], [b])[0]
+
+
+def token_set_of(a, b):
+    return token_set_ratios([a], [b])[0]
+
 
 WORDS = st.text("abc ", max_size=14)
 
@@ -16,6 +31,35 @@ def plain_lcs(a, b):
     return row[-1]
 
 
+def plain_set_ratio(a, b):
+    """As defined: the best of the shared tokens, in order, against each side, and of the sides."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, one, two = (" ".join(sorted(t)) for t in (x & y, x - y, y - x))
+    if both and not (one and two):
+        return 1.0
+    left, right = f"{both} {one}".strip(), f"{both} {two}".strip()
+    indel = lambda s, t: 2 * plain_lcs(s, t) / (len(s) + len(t))
+    # with shared tokens in front, the common part of the sides is theirs and that of the rests
+    sides = 2 * (len(both) + bool(both) + plain_lcs(one, two)) / (len(left) + len(right))
+    return max(sides, indel(both, left), indel(both, right)) if both else sides
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.text("ab 日é😀", max_size=150), st.text("ab 日é😀", max_size=150)), max_size=12))
+def test_batches(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    want = [plain_lcs(x, y) for x, y in pairs]
+    assert lcs_all(a, b).tolist() == want == [lcs(x, y) for x, y in pairs]
+    old, similarity.LONGEST = similarity.LONGEST, 20
+    try:
+        assert lcs_all(a, b).tolist() == want
+    finally:
+        similarity.LONGEST = old
+    assert token_set_ratios(a, b).tolist() == [pytest.approx(plain_set_ratio(x, y)) for x, y in pairs]
+
+
 @settings(max_examples=200, deadline=None)
 @given(WORDS, WORDS)
 def test_properties(a, b):
