@@ -45,8 +45,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kindred/{name}-{uuid.uuid4().hex}"
 
 
-#: Held while a table is written: shuffle files go when the write has ended, and Arrow batches are bounded in bytes.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+#: Bytes of an Arrow batch; Spark's own bound is eight times as much, which two tasks of whole texts feel.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Held while a table is written: shuffle files go when the write has ended.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_KEY: str(BATCH_BYTES)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for the session, for operators whose result is computed after they return; a bound that was set stays."""
+    if spark.conf.get(BATCH_KEY) == "67108864b":
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
 
 
 @contextlib.contextmanager

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -98,6 +98,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = 4096, id
     rows each give a row; other columns are ignored.
     """
     path = path or vocabulary_path()
+    small_batches(docs.sparkSession)
 
     def run(batches):
         count = counter(path)
