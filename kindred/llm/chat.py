@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: role: (opening, closing, trained on). Fixed values of the default template.
 TEMPLATE = {
@@ -86,16 +86,20 @@ _SEGMENT_SCHEMA = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), (
 
 
 def format_conversations(rows: DataFrame, template=TEMPLATE, other=OTHER) -> DataFrame:
-    """Text segments (opening, content, closing of each turn) with a loss flag each.
+    """Text segments (opening, content, closing of each turn) with a loss flag each, and the machine's verdict.
 
     ``rows`` has conv_id, turn, role, text; other columns are ignored.  Turns
     are dealt by conversation, sorted, and streamed through the machine, so a
-    conversation of any length needs one turn of memory.  Ties of a turn number
+    conversation of any length needs one turn of memory; it is one task's work,
+    as its order is, and so are all rows without an id together.  Repeated
+    rows are turns of their own; a very long text is one segment.  Ties of a turn number
     go by role and text; null role or text counts as empty; null conv_id is a
     conversation of its own.  ``valid`` is false from the first turn on whose
     role the machine does not allow; such turns are formatted all the same.
     """
 
+    small_batches(rows.sparkSession)
+
     def run(batches):
         codec = Codec(template, other)
 
@@ -126,7 +130,9 @@ _DIGEST_SCHEMA = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("
 def read_back(segments: DataFrame, template=TEMPLATE, other=OTHER) -> DataFrame:
     """Digests of each conversation from its segments' text and loss flags alone, as a stream.
 
-    Expects the order in which ``format_conversations`` gives them.
+    ``valid``: every turn was allowed where it stood, and the last one may end
+    a conversation.  Expects the order in which ``format_conversations`` gives
+    the segments.  A conversation that ends within a turn is an error.
     """
 
     def run(batches):
@@ -165,6 +171,8 @@ def read_back(segments: DataFrame, template=TEMPLATE, other=OTHER) -> DataFrame:
                 yield finish(now, acc)
 
         def finish(conv, acc):
+            if acc[6] != "open":
+                raise ValueError(f"conversation {conv} ends within a turn")
             return conv, acc[0], acc[1].hexdigest(), acc[2], acc[3].hexdigest(), acc[4], acc[5] and acc[7] in END
 
         yield from _batches(digests(), _DIGEST_SCHEMA)
@@ -176,4 +184,4 @@ def query(spark, sf_dir):
     sample = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sample).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(format_conversations(rows)).drop("valid")
+    return read_back(format_conversations(rows))
