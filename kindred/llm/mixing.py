@@ -28,7 +28,8 @@ def source_targets(sized: DataFrame, weights=(3, 1, 2), share_percent: int = 150
 
     Targets are ``min(cap * size, level * weight)`` with the one level at which
     they sum to the share; that is where resharing the excess by weight ends.
-    Windows run over one row per source.
+    Windows run in one task over one row per source: sources are the parts of a
+    mix that are weighed by name, so their number is small whatever the corpus.
     """
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
@@ -102,8 +103,8 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int =
     A source whose target is r times its size takes every document floor(r)
     times, and once more those whose hash is below the source's threshold: the
     largest prefix by hash that stays within the rest of the budget, or one
-    hash more where that comes nearer.  Null text has size 0, null is a source
-    of its own, repeated ids share a hash and go together, an empty table gives
+    hash more where that comes nearer.  Null text has size 0, very long texts
+    are counted whole, null is a source of its own, repeated ids share a hash and go together, an empty table gives
     no rows, other columns are ignored.
     """
     rows = _sized(docs, id_col, text_col, source_col)
@@ -116,9 +117,11 @@ def mixed(docs: DataFrame, weights=(3, 1, 2), share_percent: int = 150, cap: int
 
     Texts are not shuffled: the thresholds, one row a source, are joined to the rows.
     """
-    found = thresholds(_sized(docs, "doc_id", "text", "source"), weights, share_percent, cap).select(F.col("s").alias("_s"), "times", "below")
-    rows = docs.join(found, F.col("source").eqNullSafe(F.col("_s"))).withColumn("_n", copies(hash60(F.col("doc_id")), cap))
-    return rows.filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(docs.columns)
+    found = thresholds(_sized(docs, "doc_id", "text", "source"), weights, share_percent, cap).select("s", "times", "below")
+    # the caller's columns travel as one, whatever their names
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs["source"].alias("key"), hash60(docs["doc_id"]).alias("hash"))
+    taken = rows.join(found, F.col("key").eqNullSafe(F.col("s"))).select("row", copies(F.col("hash"), cap).cast("long").alias("n"))
+    return taken.filter("n > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy")).select("row.*")
 
 
 ORACLE = r"""

@@ -16,19 +16,19 @@ THRESHOLD = -0.1
 WINDOW = 5
 
 
-def repeated_words(words: Column, hashes: Column) -> Column:
-    """Words inside windows of 5 words that occur twice or more, the first one included.
-
-    Windows are compared by 64-bit hashes.  Texts without equal hashes (most)
-    take one hash-set pass; the others sort (hash, position), and a sorted list
-    of repeated positions p covers ``sum(min(5, next - p))`` words.
-    """
+def windows(words: Column, hashes: Column) -> Column:
+    """64-bit hashes of the windows of 5 words, by their place."""
     n = F.size(words)
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
-    return windows
+    return F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(windows: Column) -> Column:
+    """Words inside windows that occur twice or more, the first one included.
+
+    Texts without equal hashes (most) take one hash-set pass instead; here
+    (hash, position) is sorted, and a sorted list of repeated positions p
+    covers ``sum(min(5, next - p))`` words.
+    """
     placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
     # the sorted list is bound once by a one-element transform
     places = F.element_at(
@@ -45,24 +45,30 @@ def buckets(hashes: Column, bits: int = BUCKET_BITS) -> Column:
     return F.concat(single, double)
 
 
-def hashed(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds ``_words`` and their 64-bit hashes ``_hashes``."""
-    return docs.withColumn("_words", word_array(F.col(text_col))).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+def free(name: str, taken) -> str:
+    """A column name that is not taken."""
+    while name in taken:
+        name += "_"
+    return name
 
 
-def trusted_ids(labels: DataFrame, most: int = TARGET_SAMPLE) -> list[int]:
+def trusted_ids(labels: DataFrame, most: int = TARGET_SAMPLE) -> DataFrame:
     """Ids of up to ``most`` documents labelled good and not toxic, those with the least hash."""
     good = labels.filter("quality = 1 and toxic = 0 and doc_id is not null").select("doc_id").distinct()
-    return [r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def ratios(docs: DataFrame, target_ids: list[int], bits: int = BUCKET_BITS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def ratios(docs: DataFrame, targets: DataFrame, bits: int = BUCKET_BITS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row, one array: the log ratio of target to raw probability of every bucket.
 
-    The raw multinomial counts every n-gram of every document; exploded buckets
-    combine before the shuffle to at most 2**bits rows a task.
+    ``targets`` has the ids of the trusted documents, few enough to be sent to
+    every task.  The raw multinomial counts every n-gram of every document;
+    exploded buckets combine before the shuffle to at most 2**bits rows a task.
     """
-    rows = hashed(docs.select(F.col(id_col).isin(target_ids).alias("_trusted"), text_col), text_col).select(F.coalesce("_trusted", F.lit(False)).alias("_trusted"), F.explode(buckets(F.col("_hashes"), bits)).alias("bucket"))
+    known = F.broadcast(targets.select(F.col(targets.columns[0]).alias("_id")).distinct().withColumn("_good", F.lit(True)))
+    texts = docs.select(docs[id_col].alias("_doc"), docs[text_col].alias("_text")).join(known, F.col("_doc") == F.col("_id"), "left")
+    rows = texts.select(F.coalesce("_good", F.lit(False)).alias("_trusted"), F.transform(word_array(F.col("_text")), lambda w: F.xxhash64(w)).alias("_hashes"))
+    rows = rows.select("_trusted", F.explode(buckets(F.col("_hashes"), bits)).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("_trusted").alias("target"))
     every = docs.sparkSession.range(1 << bits).select(F.col("id").cast("int").alias("bucket"))
     full = every.join(counts, "bucket", "left").na.fill(0, ["raw", "target"])
@@ -77,36 +83,46 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bit
     """All columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, llr (mean log ratio per n-gram) and kept.
 
-    Null text has no words, so it fails the base rules (under 10 words); an
-    empty corpus gives no rows; without trusted documents every ratio is 0.  Repeated rows are assessed alike.  Columns of ``docs`` by
-    these names are replaced.
+    Null text has no words, so it fails the base rules (under 10 words); very
+    long texts are read whole, a row at a time; an empty corpus gives no rows;
+    without trusted documents every ratio is 0, so the base rules alone decide.
+    A ratio at the threshold is kept.  Repeated rows are assessed alike, and so
+    are rows without an id.  Columns of ``docs`` by these names are replaced;
+    ``passing`` keeps every column.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    logs = ratios(docs, trusted_ids(labels), bits, text_col, id_col).scalar()
-    rows = hashed(docs, text_col).withColumn("_logs", logs)
-    rows = rows.withColumn("_windows", repeated_words(F.col("_words"), F.col("_hashes")))
-    rows = rows.withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")))
-    rows = rows.withColumn("_buckets", buckets(F.col("_hashes"), bits))
-    n_words = F.size("_words").cast("long")
-    repeat = F.when(F.size(F.array_distinct("_windows")) == F.size("_windows"), F.lit(0).cast("long")).otherwise(_covered(F.col("_windows")))
-    llr = F.when(F.size("_buckets") > 0, F.aggregate("_buckets", F.lit(0.0), lambda a, b: a + F.get("_logs", b)) / F.size("_buckets")).otherwise(0.0)
+    w, h, logs, win, lines, bucket, made = (free(c, docs.columns) for c in ("_words", "_hashes", "_logs", "_windows", "_lines", "_buckets", "_counts"))
+    rows = docs.withColumn(w, word_array(F.col(text_col))).withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
+    rows = rows.withColumn(logs, ratios(docs, trusted_ids(labels), bits, text_col, id_col).scalar())
+    rows = rows.withColumn(win, windows(F.col(w), F.col(h)))
+    rows = rows.withColumn(lines, F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")))
+    rows = rows.withColumn(bucket, buckets(F.col(h), bits))
+    n_words = F.size(w).cast("long")
+    repeat = F.when(F.size(F.array_distinct(win)) == F.size(win), F.lit(0).cast("long")).otherwise(_covered(F.col(win)))
+    llr = F.when(F.size(bucket) > 0, F.aggregate(bucket, F.lit(0.0), lambda a, b: a + F.get(logs, b)) / F.size(bucket)).otherwise(0.0)
     counts = F.struct(
         n_words.alias("n_words"),
         F.length(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", "")).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat.alias("n_repeat_words"),
         llr.alias("llr"),
     )
     # The optimizer would push a filter on these columns below, and so evaluate the arrays again inside
     # the lambdas; an expression that it holds for non-deterministic keeps filters above this line.
-    rows = rows.withColumn("_counts", F.when(F.monotonically_increasing_id() >= 0, counts))
-    rows = rows.drop("_words", "_hashes", "_windows", "_lines", "_buckets", "_logs")
-    rows = rows.withColumns({c: F.col("_counts")[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")}).drop("_counts")
+    rows = rows.withColumn(made, F.when(F.monotonically_increasing_id() >= 0, counts))
+    rows = rows.drop(w, h, win, lines, bucket, logs)
+    rows = rows.withColumns({c: F.col(made)[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr")}).drop(made)
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
+def passing(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns, whatever their names."""
+    rows = docs.select(docs["doc_id"], docs["text"], F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return assess(rows, labels, threshold).filter("kept").select("row.*")
+
+
 OUTPUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
 
 
