@@ -14,7 +14,7 @@ from kindred.llm.common import table, written
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality rules reject."""
-    return quality.assess(docs, table(spark, sf_dir, "labels")).filter("kept").select(docs.columns)
+    return quality.passing(docs, table(spark, sf_dir, "labels"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
