@@ -6,14 +6,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
-#: Edits allowed per hundred characters of an item; pieces have 9 characters or more.
+#: Edits allowed per hundred characters of an item, whatever its length.
 EDIT_PERCENT = 8
-#: Items shorter than this are matched exactly.
-MIN_CHARS = 48
-#: Characters of items in one automaton; more items are searched in further passes.
-BLOCK_CHARS = 4_000_000
+#: Items shorter than this count only where no letter or digit stands next to them, as they may be parts of words.
+WORD_CHARS = 48
+#: Characters of items in one automaton, and of texts that are searched for one block of items after the other.
+BLOCK_CHARS, GROUP_CHARS = 500_000, 16_000_000
 
 
 def normal(text: str | None) -> str:
@@ -21,7 +21,7 @@ def normal(text: str | None) -> str:
 
 
 def budget(n: int, edit_percent: int = EDIT_PERCENT) -> int:
-    return n * edit_percent // 100 if n >= MIN_CHARS else 0
+    return n * edit_percent // 100
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -31,15 +31,16 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
-    """(distance, end) of the best occurrence of ``pattern`` in ``text`` with at most k edits, the first of ties."""
+def distances(pattern: str, text: str, anchored: bool = False):
+    """Myers' bit-parallel distances: for each end in ``text`` that of ``pattern`` from the best text ending
+    there, or, ``anchored``, from the whole text up to there."""
     m = len(pattern)
     masks: dict[str, int] = {}
     for i, c in enumerate(pattern):
         masks[c] = masks.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
-    plus, minus, score, best = full, 0, m, None
-    for j, c in enumerate(text):
+    plus, minus, score, first = full, 0, m, int(anchored)
+    for c in text:
         eq = masks.get(c, 0)
         x = eq | minus
         d0 = (((x & plus) + plus) ^ plus) | x
@@ -49,14 +50,38 @@ def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
             score += 1
         elif hn & top:
             score -= 1
-        hp <<= 1
+        hp = hp << 1 | first
         plus = ((hn << 1) | (full & ~(d0 | hp))) & full
         minus = hp & d0 & full
+        yield score
+
+
+def myers(pattern: str, text: str, k: int) -> tuple[int, int] | None:
+    """(distance, end) of the best occurrence of ``pattern`` in ``text`` with at most k edits, the first of ties."""
+    best = None
+    for j, score in enumerate(distances(pattern, text)):
         if score <= k and (best is None or score < best[0]):
             best = score, j + 1
     return best
 
 
+def as_words(pattern: str, text: str, low: int, high: int, k: int) -> tuple[int, int] | None:
+    """As ``myers`` within low..high of ``text``, for occurrences that no letter or digit of the text touches."""
+    starts = lambda at: at == 0 or not text[at - 1].isalnum()
+    ends = lambda at: at == len(text) or not text[at].isalnum()
+    best, turned = None, pattern[::-1]
+    for j, score in enumerate(distances(pattern, text[low:high])):
+        end = low + j + 1
+        if score > k or not ends(end) or (best and score >= best[0]):
+            continue
+        # from the end back to a beginning: the exact distance of each text that ends here
+        back = text[max(0, end - len(pattern) - k) : end][::-1]
+        found = [d for i, d in enumerate(distances(turned, back, True)) if d <= k and starts(end - i - 1)]
+        if found and (best is None or min(found) < best[0]):
+            best = min(found), end
+    return best
+
+
 class Matcher:
     """All occurrences of the items in a text, one automaton over the pieces of all items."""
 
@@ -92,23 +117,23 @@ class Matcher:
                     continue
                 tried.add((i, start))
                 low, m = max(0, start - k), len(item)
-                exact = text.find(item, low, max(0, start + m + k))
-                if exact >= 0:
-                    hit = 0, exact + m
-                elif k:
-                    hit = myers(item, text[low : start + m + k], k)
-                    hit = hit and (hit[0], low + hit[1])
+                if m < WORD_CHARS:
+                    hit = as_words(item, text, low, max(0, start + m + k), k)
                 else:
-                    hit = None
-                if hit and m < MIN_CHARS and (text[hit[1] - m - 1 : hit[1] - m].isalnum() or text[hit[1] : hit[1] + 1].isalnum()):
-                    hit = None  # short items match at word boundaries only
+                    exact = text.find(item, low, max(0, start + m + k))
+                    hit = (0, exact + m) if exact >= 0 else None
+                    if hit is None and k and (hit := myers(item, text[low : start + m + k], k)):
+                        hit = hit[0], low + hit[1]
                 if hit and (i not in best or hit < best[i]):
                     best[i] = hit
         return [(self.items[i][0], *hit) for i, hit in best.items()]
 
 
 def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text"):
-    """The stated query set in blocks of bounded size, fetched from the cluster block by block."""
+    """The stated query set in blocks of bounded size, fetched from the cluster block by block.
+
+    An item of more characters than a block has is a block of its own.
+    """
     block, size = [], 0
     for row in benchmark.select(item_col, text_col).dropna().dropDuplicates().toLocalIterator():
         block.append((row[0], row[1]))
@@ -120,6 +145,29 @@ def item_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str =
         yield block
 
 
+def _matched(batches, blocks, edit_percent: int):
+    """(batch, matches of each of its rows): every block of items is looked for in some texts before the next ones are read."""
+    alone = Matcher(blocks[0].value, edit_percent) if len(blocks) == 1 else None
+
+    def search(held):
+        found = [[[] for _ in range(b.num_rows)] for b in held]
+        for block in blocks:
+            matcher = alone or Matcher(block.value, edit_percent)
+            for b, rows in zip(held, found, strict=True):
+                for i, text in enumerate(b.column(b.schema.get_field_index("text")).to_pylist()):
+                    rows[i] += matcher.matches(text)
+        yield from zip(held, found, strict=True)
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if alone or size >= GROUP_CHARS:
+            yield from search(held)
+            held, size = [], 0
+    yield from search(held)
+
+
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int64()), ("end", pa.int64())])
 
 
@@ -127,36 +175,43 @@ def find(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PERCENT
     """(doc_id, item_id, distance, end) for every item that a document holds within its edit budget.
 
     Whole texts are searched, lower-cased with white space collapsed; ``end`` is
-    in that text.  The best occurrence counts, the first of equal ones.  Null
-    or empty texts and items match nothing; repeated documents each match,
-    repeated items (same id and text) once.  Each block of items is one pass.
+    in that text.  An item may differ by ``edit_percent`` of its characters, at
+    any length; one of fewer than WORD_CHARS counts only where no letter or
+    digit of the text touches it.  The best occurrence counts, the first of equal ones.
+    Null or empty texts and items match nothing; repeated documents each match,
+    repeated items (same id and text) once; other columns are ignored, whatever
+    their names.  The texts are read once, for all blocks of items.
     """
-    out = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, distance long, end long")
-    for block in item_blocks(benchmark):
+    spark = docs.sparkSession
+    small_batches(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    schema = "doc_id long, item_id long, distance long, end long"
+    if not blocks:
+        return spark.createDataFrame([], schema)
 
-        def run(batches, block=block):
-            matcher = Matcher(block, edit_percent)
-            for batch in batches:
-                rows = [(d, *m) for d, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)), strict=True) for m in matcher.matches(t)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _FOUND, strict=True)], schema=_FOUND)
+    def run(batches):
+        for batch, found in _matched(batches, blocks, edit_percent):
+            hits = [(d, *m) for d, ms in zip(batch.column(0).to_pylist(), found, strict=True) for m in ms]
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*hits, strict=True), _FOUND, strict=True)], schema=_FOUND)
 
-        out = out.union(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, out.schema))
-    return out
+    return rows.mapInArrow(run, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, edit_percent: int = EDIT_PERCENT) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item within its edit budget (see ``find``)."""
-    for block in item_blocks(benchmark):
+    spark = docs.sparkSession
+    small_batches(spark)
+    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark)]
+    if not blocks:
+        return docs
 
-        def run(batches, block=block):
-            matcher = Matcher(block, edit_percent)
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-                yield batch.filter(pa.array([not matcher.matches(t) for t in texts], pa.bool_()))
+    def run(batches):
+        for batch, found in _matched(batches, blocks, edit_percent):
+            yield batch.filter(pa.array([not ms for ms in found], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir):
