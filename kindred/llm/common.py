@@ -45,8 +45,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/kindred/{name}-{uuid.uuid4().hex}"
 
 
-#: Bytes of an Arrow batch; Spark's own bound is eight times as much, which two tasks of whole texts feel.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+#: Bytes of an Arrow batch; Spark's own bound is sixteen times as much, which two tasks of whole texts feel.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Held while a table is written: shuffle files go when the write has ended.
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", BATCH_KEY: str(BATCH_BYTES)}
 
@@ -147,7 +147,7 @@ def unpack_columns(blob: bytes, count: int) -> list[np.ndarray]:
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_PIECE = 1 << 18
+_PIECE = 1 << 17
 _powers: list[np.ndarray] = []
 
 

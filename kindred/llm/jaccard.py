@@ -138,7 +138,7 @@ class Order:
 SIGNATURE = "doc_id long, n long, s1 long, s2 long, prefix binary, sketch binary"
 KEY = ["s1", "s2", "n"]
 #: log2 of a sketch's buckets, and the largest set that has so many; larger sets have none.
-SKETCHES = ((6, 2_048), (8, 16_384), (10, 65_536), (12, 262_144))
+SKETCHES = ((5, 512), (6, 2_048), (8, 16_384), (10, 65_536), (12, 262_144))
 
 
 def _sums(tokens: np.ndarray) -> tuple[np.int64, np.int64]:
@@ -484,7 +484,8 @@ def _links(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
 
     spark, buckets = docs.sparkSession, 4 * shuffle_width(docs.sparkSession)
     known = sketches.join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", "sketch", F.coalesce("component", "doc").alias("label"))
-    large = blocks.groupBy("token").agg((F.count("*") / F.lit(TILE)).cast("int").alias("more")).filter("more > 0")
+    # written, so that the join's sides are plain tables: Spark broadcasts a small one, or may split a large token's rows
+    large = written(blocks.groupBy("token").agg((F.count("*") / F.lit(TILE)).cast("int").alias("more")).filter("more > 0"), "large")
     met = _cells(blocks.select("token", "doc", "n", "pos", "pivot"), large, "token", "doc").join(known, ["doc", "n"])
     met = met.select(F.pmod(F.xxhash64("token", "one", "two"), F.lit(buckets)).alias("bucket"), "token", "one", "two", "own", "doc", "n", "pos", "pivot", "label", "sketch")
     rest = met.groupBy("bucket").applyInArrow(lambda t: _unlinked_pairs(t, percent), "x long, y long").distinct()
@@ -494,7 +495,7 @@ def _links(docs: DataFrame, width: int, percent: int, id_col: str, text_col: str
     every = written(links.union(more).distinct(), "links")
     ids = every.select(c("x").alias("doc")).union(every.select("y")).union(several).distinct()
     sets_of_all = written(sets.union(further).join(ids, "doc", "left_semi"), "sets", "none")
-    discard(blocks, links, labels, rest, more, sets, further, several)
+    discard(blocks, links, labels, large, rest, more, sets, further, several)
     return signs, reps, every, sets_of_all
 
 
