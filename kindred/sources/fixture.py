@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kindred.functions.text import normalize, tokens
@@ -53,16 +52,17 @@ def alike(spark: SparkSession, sf_dir: str, percent: int) -> DataFrame:
     """(s1_id, cand_id): documents of source 1 and of the others whose whole normalised texts are alike.
 
     Alike is a Jaccard similarity of token sets of ``percent`` or more; texts
-    without tokens are like nothing.  Rare tokens come first: two sets that
+    without tokens are like nothing.  In any order of all tokens, two sets that
     are alike share one of the first n - ceil(percent * n) + 1 of either, so
-    only documents that share such a token are compared.
+    only documents that share such a token are compared.  Long tokens come
+    first, as they are rare as a rule; no frequencies need to be counted.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     source = (1 + F.col("doc_id") % 3).cast("int")
     sets = docs.select(F.concat(F.lit("S"), source.cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"), source.alias("source"), tokens(normalize(F.col("text"))).alias("tokens"))
-    rows = sets.select("id", "source", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    ranked = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token").withColumn("place", F.row_number().over(W.partitionBy("id").orderBy("df", "token")))
-    first = ranked.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).select("id", "source", "n", "token")
+    n = F.size("tokens")
+    in_order = F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    first = sets.select("id", "source", n.alias("n"), F.explode(F.slice(in_order, 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("x")).select("id", "source", "n", F.col("x.t").alias("token"))
     side = lambda d, key: d.select(F.col("id").alias(key), F.col("n").alias(f"{key}_n"), "token")
     near = side(first.filter("source = 1"), "s1_id").join(side(first.filter("source <> 1"), "cand_id"), "token")
     near = near.filter(100 * F.least("s1_id_n", "cand_id_n") >= percent * F.greatest("s1_id_n", "cand_id_n")).select("s1_id", "cand_id").distinct()

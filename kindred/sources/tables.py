@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,9 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="kindred-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 
+def register(spark: SparkSession, frame, name: str, schema: str | None = None) -> DataFrame:
+    """A frame of the driver (pandas, Arrow or rows) as a table that SQL finds by name."""
+    out = spark.createDataFrame(frame, schema) if schema else spark.createDataFrame(frame)
+    out.createOrReplaceTempView(name)
+    return out
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and kept if executors are lost."""
     path = f"{shared_dir(df.sparkSession)}/kindred/{name}-{uuid.uuid4().hex}"
