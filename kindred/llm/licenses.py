@@ -135,15 +135,21 @@ def _pairs(text: str) -> set[str]:
     return {g for g in grams(_words(text)) if " " in g}
 
 
-def _vectors(texts: list[str], known: set[int]) -> np.ndarray:
-    """A row a text: its grams' known buckets, of length 1 together, so words that no example has dilute nothing."""
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
+def _vectors(texts: list[str], known: set[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of each text's grams in known buckets (all of them by default), a row of length 1 together,
+    so words that no example has dilute nothing."""
+    rows, columns, values = [], [], []
     for i, t in enumerate(texts):
-        found = [b for b in map(_bucket, dict.fromkeys(grams(_words(t)))) if b in known]
-        for b in found:
-            out[i, b] += 1.0
-        out[i] /= max(1.0, np.sqrt(len(found)))
-    return out
+        found = [b for b in map(_bucket, dict.fromkeys(grams(_words(t)))) if known is None or b in known]
+        rows += [i] * len(found)
+        columns += found
+        values += [1 / max(1.0, np.sqrt(len(found)))] * len(found)
+    return np.array(rows, np.int64), np.array(columns, np.int64), np.array(values, float)
+
+
+def _product(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, dense: np.ndarray, n: int) -> np.ndarray:
+    """The sparse matrix (n rows) times a dense one, column by column."""
+    return np.stack([np.bincount(rows, values * dense[columns, k], n) for k in range(dense.shape[1])], 1)
 
 
 def _examples(seed: int = 7) -> tuple[list[str], list[int], list[str]]:
@@ -172,28 +178,30 @@ def model() -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """(families, sparse weights, biases, temperature): multinomial logistic regression by proximal gradient
     descent (the penalty leaves most weights 0), its probabilities calibrated on every third example."""
     texts, labels, families = _examples()
-    known = {_bucket(g) for t in texts for g in grams(_words(t))}
-    x, y = _vectors(texts, known), np.eye(len(families))[labels]
-    held = np.arange(len(texts)) % 3 == 2
-    w, b = np.zeros((x.shape[1], len(families))), np.zeros(len(families))
+    rows, columns, values = _vectors(texts)
+    y, held = np.eye(len(families))[labels], np.arange(len(texts)) % 3 == 2
+    used, columns = np.unique(columns, return_inverse=True)
+    fit = ~held[rows]
+    r, c, v = rows[fit], columns[fit], values[fit]
+    ws, b = np.zeros((len(used), len(families))), np.zeros(len(families))
 
     def soft(z):
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    used = x.any(0)
-    xs, ws = x[~held][:, used], w[used]
     for _ in range(EPOCHS):
-        d = (soft(xs @ ws + b) - y[~held]) / len(xs)
-        ws = ws - RATE * 10 * (xs.T @ d)
+        d = np.where(held[:, None], 0.0, soft(_product(r, c, v, ws, len(texts)) + b) - y) / (~held).sum()
+        ws = ws - RATE * 10 * _product(c, r, v, d, len(used))
         ws = np.sign(ws) * np.maximum(np.abs(ws) - RATE * 10 * PENALTY, 0)
         b = b - RATE * 10 * d.sum(0)
     # a known bucket keeps its row, even one of zeros: it counts in a paragraph's length
-    w[used] = np.round(ws, 4)
-    z = x[held] @ w + b
+    ws = np.round(ws, 4)
+    z = (_product(rows, columns, values, ws, len(texts)) + b)[held]
     loss = lambda t: -np.log(soft(z / t)[y[held] > 0] + 1e-12).mean()
     temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    return families, np.where(used[:, None], w, np.nan), np.round(b, 6), temperature
+    weights = np.full((1 << BITS, len(families)), np.nan)
+    weights[used] = ws
+    return families, weights, np.round(b, 6), temperature
 
 
 @functools.cache
@@ -299,7 +307,7 @@ def classify(texts: list[str]) -> list[tuple[str, float, bool]]:
     """(family, probability, confirmed) of paragraphs in plain Python: what ``scan`` must agree with."""
     families, weights, bias, temperature = model()
     known = set(np.flatnonzero(~np.isnan(weights[:, 0])).tolist())
-    z = (_vectors(texts, known).astype(float) @ np.nan_to_num(weights) + bias) / temperature
+    z = (_product(*_vectors(texts, known), np.nan_to_num(weights), len(texts)) + bias) / temperature
     out = []
     for t, row in zip(texts, z, strict=True):
         pairs = _pairs(t)
