@@ -672,11 +672,21 @@ def link_pairs(docs: DataFrame, width: int, percent: int, id_col: str = "doc_id"
     return out
 
 
+#: Ids that are broadcast at most (16 MB); more are joined by a shuffle of the rows.
+BROADCAST_IDS = 1_000_000
+
+
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component, all columns; null ids stay."""
+    """The rows of ``docs`` whose id is the least of its component, all columns; null ids stay.
+
+    The ids that go are counted: few enough are broadcast, so that texts are
+    not shuffled; beyond that the texts are shuffled once.
+    """
     found = join(docs, width, percent)
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    discard(found)
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir):
