@@ -278,3 +278,11 @@ def test_scores_are_fitted_on_the_whole_set_with_the_defaults(spark, monkeypatch
 
 def test_settings():
     assert Settings.from_env({"LINK_BLOCK_CAP": "5", "LINK_PASSES": "exact"}) == Settings(block_cap=5, passes=("exact",))
+
+
+def test_ratio_sweep_ranks_all_negatives(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    want = sorted(tuple(r) for r in training.ratio_sweep(training.training_set(catalog._norm(spark, sf), catalog._truth(spark, sf))).collect())
+    monkeypatch.setattr(training, "LIMITS", dict.fromkeys(training.LIMITS, 5))
+    assert sorted(tuple(r) for r in catalog.QUERIES["ratio_sweep"](spark, sf).collect()) == want
+    assert sum(r[3] for r in want if r[:2] == (5, 0)) == 5 * sum(r[3] for r in want if r[:2] == (5, 1))
