@@ -286,3 +286,14 @@ def test_ratio_sweep_ranks_all_negatives(spark, monkeypatch):
     monkeypatch.setattr(training, "LIMITS", dict.fromkeys(training.LIMITS, 5))
     assert sorted(tuple(r) for r in catalog.QUERIES["ratio_sweep"](spark, sf).collect()) == want
     assert sum(r[3] for r in want if r[:2] == (5, 0)) == 5 * sum(r[3] for r in want if r[:2] == (5, 1))
+
+
+def test_weights_leave_rows_where_they_are(spark):
+    df = spark.range(0, 80, 1, 8).select("id", (F.col("id") % 4 == 0).cast("int").alias("label"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where the rows are many
+    try:
+        found = training.balanced(df).withColumn("place", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["label"], r["weight"]) for r in found} == {(1, 2.0), (0, 80 / 120)}
+    assert len({r["place"] for r in found}) == 8  # not one task for each label
