@@ -48,3 +48,21 @@ def test_bitmaps_of_two_sizes(spark):
     assert words.tolist() == [16, 8]
     row = spark.createDataFrame([(bits[:16].tolist(), bits[16:].tolist())], "x array<bigint>, y array<bigint>").select(token_sets.differing(F.col("x"), F.col("y")), token_sets.differing(F.col("y"), F.col("x"))).first()
     assert row[0] == row[1] and 0 < row[0] <= 60
+
+
+def test_near_copies_meet_few_times(spark):
+    """A pair went on from each first token that it shares, so that the rows moved grew with the length of the texts."""
+    rows = [(i, i % 2 == 0, 400, sorted([*range(1, 40), 100 + i]), [0, 0]) for i in range(20)]
+    held = spark.createDataFrame(rows, "id long, own boolean, n int, first array<bigint>, bits array<bigint>")
+    a, b = token_sets.first_rows(held.filter("own"), "a"), token_sets.first_rows(held.filter("not own"), "b")
+    met = token_sets.meeting(a, b)
+    assert a.join(b, "token").count() == 39 * 100
+    assert met.count() == met.select("a", "b").distinct().count() == 100
+
+
+def test_only_some_ids(spark):
+    """The texts of all sets were moved to find those of the pairs that are counted in full."""
+    rows = spark.range(5000).withColumn("tokens", F.lit("x"))
+    some = spark.range(0, 5000, 50)
+    assert sorted(r["id"] for r in token_sets.only(rows, some).collect()) == list(range(0, 5000, 50))
+    assert token_sets.only(rows, some.limit(0)).count() == 0
